@@ -10,6 +10,33 @@ from pyspark.sql import functions as F
 from skein.llm.common import table
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from skein.llm.toxicity import held_out, score_documents, train
+
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
+    model = train(docs, labels.where(~held_out(F.col("doc_id"))))
+    return score_documents(docs, model).withColumn("hits", F.size("hits"))
+
+
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from skein.llm.sharding import shard_documents
+
+    return shard_documents(table(spark, sf_dir, "documents"))
+
+
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from skein.llm.mixing import mix_documents
+
+    return mix_documents(table(spark, sf_dir, "documents"))
+
+
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from skein.llm.decontaminate import contaminated
+
+    found = contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.withColumnRenamed("id", "doc_id").drop("tkey")
+
+
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from skein.llm.near_dedup import near_duplicates
 
@@ -18,6 +45,10 @@ def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
+    "op3_sharding": op3_sharding,
+    "op4_mixing": op4_mixing,
+    "op5_decontamination": op5_decontamination,
     "op6_near_duplicates": op6_near_duplicates,
 }
 
