@@ -12,9 +12,11 @@ No group is ever expanded into all its pairs:
 * equal sets are one node from the start;
 * a shingle that no other candidate has bounds its owner's similarity to anything; nodes that can reach
   no partner under that bound go, and every later pair has to satisfy it;
-* in each band bucket members are first compared with one pivot, the node with most shared shingles;
+* in each band bucket members are first compared with two pivots: the node with most shared shingles
+  and one drawn by hash;
 * once those links have been closed into components, only pairs of a bucket that are still in
-  different components, and within the bound, are compared; that pass makes the result exact.
+  different components, within the bounds (also the sharper one that the exact overlaps with the pivot
+  give) and not ruled out by the estimate are compared; that pass makes the result exact.
 
 Edge cases: a null or blank text has an empty set and links with nothing; with fewer than k words the
 whole sequence is the one shingle; rows with a null id keep a null component and are kept; rows that
@@ -80,13 +82,14 @@ def registers(u: np.ndarray) -> np.ndarray:
     return out
 
 
-def band_keys(regs: np.ndarray) -> list[int]:
-    """A key for each band that has a register."""
+def band_keys(regs: np.ndarray) -> np.ndarray:
+    """A key for each band, its number in the low 5 bits; 0 for a band without registers."""
     rows = regs.reshape(BANDS, BAND_ROWS).astype(_U)
     acc = np.arange(1, BANDS + 1, dtype=_U)
     for j in range(BAND_ROWS):
         acc = _mix(acc * _MIX[2] + rows[:, j])
-    return acc[rows.any(axis=1)].astype(np.int64).tolist()
+    keys = (acc << _U(5)) | np.arange(BANDS, dtype=_U)
+    return np.where(rows.any(axis=1), keys, _U(0)).view(np.int64)
 
 
 def _sketch(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
@@ -99,10 +102,10 @@ def _sketch(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatc
             r = registers(u)
             n.append(len(u))
             fps.append(xxh3_128_digest(u.tobytes()) if len(u) else None)
-            regs.append(r if len(u) else None)
+            regs.append(r.astype(np.uint16).view(np.int16) if len(u) else None)
             bands.append(band_keys(r))
         yield pa.RecordBatch.from_arrays(
-            [batch.column("id"), batch.column("tkey"), pa.array(n, pa.int64()), pa.array(fps, pa.binary()), pa.array(regs, pa.list_(pa.int32())), pa.array(bands, pa.list_(pa.int64()))],
+            [batch.column("id"), batch.column("tkey"), pa.array(n, pa.int64()), pa.array(fps, pa.binary()), pa.array(regs, pa.list_(pa.int16())), pa.array(bands, pa.list_(pa.int64()))],
             names=["id", "tkey", "n", "fp", "regs", "bands"],
         )
 
@@ -115,14 +118,20 @@ def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]
 
 def estimate(regs_a: Column, regs_b: Column, n_a: Column, n_b: Column) -> Column:
     """Jaccard estimate of two register arrays, less the matches that chance alone brings."""
-    used = F.size(F.filter(F.zip_with(regs_a, regs_b, lambda x, y: (x > 0) | (y > 0)), lambda v: v))
-    same = F.size(F.filter(F.zip_with(regs_a, regs_b, lambda x, y: (x > 0) & (x == y)), lambda v: v))
+    used = F.size(F.filter(F.zip_with(regs_a, regs_b, lambda x, y: (x != 0) | (y != 0)), lambda v: v))
+    same = F.size(F.filter(F.zip_with(regs_a, regs_b, lambda x, y: (x != 0) & (x == y)), lambda v: v))
     ratio = F.greatest(n_a, n_b) / F.least(n_a, n_b)
     # expected chance matches of HyperMinHash: 0.1699 * 2^(p - r) * 4x / (1 + x)^2 for sizes in the ratio x
     chance = F.lit(0.169919487159739 * 2.0 ** (BUCKET_BITS - MANTISSA_BITS)) * 4 * ratio / ((1 + ratio) * (1 + ratio))
     return F.when(used > 0, F.greatest(F.lit(0.0), (same - chance) / used)).otherwise(F.lit(0.0))
 
 
+def _likely(regs_a: Column, regs_b: Column, n_a: Column, n_b: Column, num: int, den: int) -> Column:
+    """Whether the estimate is no more than SIGMAS standard deviations under the threshold."""
+    spread = F.sqrt(F.lit(num / den * (1 - num / den)) / F.greatest(F.lit(1), F.size(F.filter(regs_a, lambda x: x != 0))))
+    return estimate(regs_a, regs_b, n_a, n_b) >= num / den - SIGMAS * spread
+
+
 def _reachable(n_a: Column, c_a: Column, n_b: Column, c_b: Column, num: int, den: int) -> Column:
     """Whether sets of n shingles, c of them shared with anything, can be similar enough."""
     return F.least(c_a, c_b) * (num + den) >= num * (n_a + n_b)
@@ -156,14 +165,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     small_batches(spark)
     rows = docs.select(F.col(id_col).alias("id"), text_key(F.col(text_col)).alias("tkey"), utf8(F.col(text_col)).alias("text"))
     id_type = rows.schema["id"].dataType.simpleString()
-    sketches = spill(rows.mapInArrow(functools.partial(_sketch, k=k), f"id {id_type}, tkey long, n long, fp binary, regs array<int>, bands array<long>"), "sketch")
+    sketches = spill(rows.mapInArrow(functools.partial(_sketch, k=k), f"id {id_type}, tkey long, n long, fp binary, regs array<smallint>, bands array<long>"), "sketch")
 
     named = sketches.where("id is not null and fp is not null")
     nodes = spill(
         named.groupBy("fp").agg(F.min(F.struct("id", "tkey")).alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("regs").alias("regs"), F.first("bands").alias("bands")),
         "nodes",
     )
-    buckets = nodes.select("fp", F.explode("bands").alias("band"))
+    buckets = nodes.select("fp", F.explode(F.filter("bands", lambda b: b != 0)).alias("band"))
     crowded = buckets.groupBy("band").agg(F.count("*").alias("m")).where("m > 1").select("band")
     members = spill(buckets.join(crowded, "band"), "members")
     suspects = members.select("fp").distinct()
@@ -175,44 +184,57 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = texts.join(F.broadcast(reps) if n_reps <= 500_000 else reps, ["id", "tkey"]).select("fp", "text")
     sets = spill(texts.mapInArrow(functools.partial(_sets, k=k), "fp binary, shingles array<long>").dropDuplicates(["fp"]), "sets")
     alone = sets.select("fp", F.explode("shingles").alias("s")).groupBy("s").agg(F.count("*").alias("df"), F.min("fp").alias("fp")).where("df = 1").groupBy("fp").agg(F.count("*").alias("u"))
-    bounded = nodes.join(suspects, "fp", "left_semi").join(alone, "fp", "left").select("fp", "n", (F.col("n") - F.coalesce("u", F.lit(0))).alias("c"), "regs")
+    bounded = nodes.join(suspects, "fp", "left_semi").join(alone, "fp", "left").select("fp", "n", (F.col("n") - F.coalesce("u", F.lit(0))).alias("c"), "regs", "bands")
     bounded = spill(bounded.where(F.col("c") * den >= num * F.col("n")), "bounded")
 
     live = spill(members.join(bounded.select("fp", "n", "c"), "fp"), "live")
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        """Of distinct pairs (a, b): those whose full sets are similar enough."""
+    def compared(pairs: DataFrame) -> DataFrame:
+        """Of distinct pairs (a, b) that the estimate doesn't rule out: both, the size of the common set."""
         side = bounded.select("fp", "n", "regs")
         p = pairs.join(side.select(F.col("fp").alias("a"), F.col("n").alias("n_a"), F.col("regs").alias("regs_a")), "a")
         p = p.join(side.select(F.col("fp").alias("b"), F.col("n").alias("n_b"), F.col("regs").alias("regs_b")), "b")
-        used = F.size(F.filter(F.zip_with("regs_a", "regs_b", lambda x, y: (x > 0) | (y > 0)), lambda v: v))
-        floor = num / den - SIGMAS * F.sqrt(F.lit(num / den * (1 - num / den)) / used)
-        p = p.where(estimate(F.col("regs_a"), F.col("regs_b"), F.col("n_a"), F.col("n_b")) >= floor).select("a", "b")
+        p = p.where(_likely(F.col("regs_a"), F.col("regs_b"), F.col("n_a"), F.col("n_b"), num, den)).select("a", "b")
         p = p.join(sets.select(F.col("fp").alias("b"), F.col("shingles").alias("s_b")), "b")
         p = p.join(sets.select(F.col("fp").alias("a"), F.col("shingles").alias("s_a")), "a")
-        both = F.size(F.array_intersect("s_a", "s_b"))
-        return p.withColumn("both", both).where(den * F.col("both") >= num * (F.size("s_a") + F.size("s_b") - F.col("both"))).select("a", "b")
-
-    # first: everyone with its bucket's pivot
-    pivots = live.groupBy("band").agg(F.max(F.struct((F.col("c") / F.col("n")).alias("share"), F.col("n"), F.col("c"), F.col("fp"))).alias("p"), F.count("*").alias("m")).where("m > 1")
-    star = live.join(pivots.select("band", "p"), "band").where(F.col("fp") != F.col("p.fp")).where(_reachable(F.col("n"), F.col("c"), F.col("p.n"), F.col("p.c"), num, den))
-    star = star.select(F.least("fp", "p.fp").alias("a"), F.greatest("fp", "p.fp").alias("b")).distinct()
-    links = spill(verified(star), "links")
+        p = p.withColumn("both", F.size(F.array_intersect("s_a", "s_b")))
+        return p.select("a", "b", "both", (den * F.col("both") >= num * (F.size("s_a") + F.size("s_b") - F.col("both"))).alias("linked"))
+
+    # first: everyone with two of its bucket, the one with most shared shingles and one drawn by hash
+    pivots = live.groupBy("band").agg(
+        F.max(F.struct((F.col("c") / F.col("n")).alias("share"), "n", "c", "fp")).alias("p"), F.max(F.struct(F.xxhash64("fp", "band").alias("draw"), "n", "c", "fp")).alias("q"), F.count("*").alias("m")
+    ).where("m > 1")
+    near = live.join(pivots.select("band", "p", "q"), "band")
+    star = [near.select("fp", "n", "c", *[F.col(f"{v}.{x}").alias(f"{x}_p") for x in ("fp", "n", "c")]) for v in ("p", "q")]
+    star = star[0].union(star[1]).where("fp != fp_p").where(_reachable(F.col("n"), F.col("c"), F.col("n_p"), F.col("c_p"), num, den))
+    star = spill(star.select(F.least("fp", "fp_p").alias("a"), F.greatest("fp", "fp_p").alias("b")).distinct(), "star")
+    seen = spill(compared(star), "seen")
+    links = seen.where("linked").select("a", "b")
     first = components(links)
 
     # then: who shares a bucket, may be similar, and is still apart; a bucket's largest component needs no pairs of its own
     placed = live.join(first.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
     sizes = placed.groupBy("band", "label").agg(F.count("*").alias("m"), F.min("n").alias("low_n"))
     mixed = sizes.groupBy("band").agg(F.count("*").alias("labels"), F.max(F.struct("m", "label")).getField("label").alias("main"), F.min("low_n").alias("low_n")).where("labels > 1")
-    placed = spill(placed.join(mixed, "band"), "placed")
+    placed = placed.join(mixed, "band").join(pivots.select("band", F.col("p.fp").alias("p")), "band")
+    placed = placed.withColumn("a", F.least("fp", "p")).withColumn("b", F.greatest("fp", "p")).join(seen.select("a", "b", "both"), ["a", "b"], "left")
+    placed = placed.withColumn("of_p", F.when(F.col("fp") == F.col("p"), F.col("n")).otherwise(F.col("both")))
+    placed = spill(placed.join(bounded.select("fp", "regs", "bands"), "fp").select("band", "fp", "n", "c", "label", "main", "low_n", "of_p", "regs", "bands"), "placed")
     # a straggler whose shared shingles cannot carry even the bucket's shortest partner has none
     stray = placed.where("label != main").where(F.col("c") * (num + den) >= num * (F.col("n") + F.col("low_n")))
-    stray = stray.select("band", F.col("fp").alias("x"), F.col("n").alias("n_x"), F.col("c").alias("c_x"), F.col("label").alias("label_x"))
-    apart = placed.select("band", "fp", "n", "c", "label", "main").join(stray, "band").where(
-        (F.col("label") != F.col("label_x")) & ((F.col("label") == F.col("main")) | (F.col("fp") < F.col("x"))) & _reachable(F.col("n"), F.col("c"), F.col("n_x"), F.col("c_x"), num, den)
-    )
-    apart = apart.select(F.least("fp", "x").alias("a"), F.greatest("fp", "x").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
-    more = spill(verified(apart), "links")
+    stray = stray.select("band", *[F.col(c).alias(f"{c}_x") for c in ("fp", "n", "c", "label", "of_p", "regs", "bands")])
+    # a pair that shares several buckets is compared in the first of them
+    shared = F.zip_with("bands", "bands_x", lambda x, y: (x != 0) & (x == y))
+    first_shared = F.array_position(shared, True) - 1 == F.col("band").bitwiseAND(BANDS - 1)
+    # what two sets share lies inside the pivot, or outside it among what each shares with anything
+    common = F.least("of_p", "of_p_x") + F.least(F.col("c") - F.col("of_p"), F.col("c_x") - F.col("of_p_x"))
+    through_pivot = F.when(F.col("of_p").isNull() | F.col("of_p_x").isNull(), F.lit(True)).otherwise(common * (num + den) >= num * (F.col("n") + F.col("n_x")))
+    apart = placed.join(stray, "band").where(
+        (F.col("label") != F.col("label_x")) & ((F.col("label") == F.col("main")) | (F.col("fp") < F.col("fp_x"))) & _reachable(F.col("n"), F.col("c"), F.col("n_x"), F.col("c_x"), num, den)
+        & through_pivot & first_shared & _likely(F.col("regs"), F.col("regs_x"), F.col("n"), F.col("n_x"), num, den)
+    )
+    apart = apart.select(F.least("fp", "fp_x").alias("a"), F.greatest("fp", "fp_x").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
+    more = spill(compared(apart).where("linked").select("a", "b"), "links")
     final = first if more.isEmpty() else components(links.union(more))
 
     # a component's id is the smallest id of all its documents
