@@ -140,20 +140,29 @@ def _reachable(n_a: Column, c_a: Column, n_b: Column, c_b: Column, num: int, den
 def components(links: DataFrame) -> DataFrame:
     """links(a, b) -> (node, label): label is the smallest node of the component.
 
-    Smallest labels travel along links, then labels are replaced by their own labels, until nothing
-    changes: rounds grow with the logarithm of a component's diameter.  Joins only, no group is gathered.
+    Each round every node takes its smallest neighbour as label, labels take their own until none
+    changes, and links are carried over to the labels, where those within one label vanish.  A round at
+    least halves the nodes that have links.  Minima and joins only, no group is gathered.
     """
-    spread = spill(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a != b").distinct(), "edges")
-    labels = spill(spread.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")), "labels")
-    while True:
-        near = spread.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("low"))
-        step = labels.join(near, "node").select("node", F.least("label", "low").alias("label"), F.col("label").alias("was"))
-        step = spill(step, "labels")
-        roots = step.select(F.col("node").alias("label"), F.col("label").alias("root"))
-        after = spill(step.join(roots, "label").select("node", F.least("label", "root").alias("label"), "was"), "labels")
-        if after.where("label != was").isEmpty():
-            return after.select("node", "label")
-        labels = after.select("node", "label")
+    edges = spill(links.select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).where("src != dst").distinct(), "edges")
+    named = None
+    while not edges.isEmpty():
+        ends = edges.select(F.col("dst").alias("node"), F.col("src").alias("low")).union(edges.select(F.col("src").alias("node"), F.col("src").alias("low")))
+        hooks = spill(ends.groupBy("node").agg(F.min("low").alias("label")), "hooks")
+        while True:
+            to = hooks.select(F.col("node").alias("label"), F.col("label").alias("root"))
+            jumped = spill(hooks.join(to, "label").select("node", F.col("root").alias("label"), F.col("label").alias("was")), "hooks")
+            hooks = jumped.select("node", "label")
+            if jumped.where("label != was").isEmpty():
+                break
+        if named is None:
+            named = hooks
+        else:
+            later = hooks.select(F.col("node").alias("label"), F.col("label").alias("root"))
+            named = spill(named.join(later, "label", "left").select("node", F.coalesce("root", "label").alias("label")), "labels")
+        moved = edges.join(hooks.select(F.col("node").alias("src"), F.col("label").alias("x")), "src").join(hooks.select(F.col("node").alias("dst"), F.col("label").alias("y")), "dst")
+        edges = spill(moved.where("x != y").select(F.least("x", "y").alias("src"), F.greatest("x", "y").alias("dst")).distinct(), "edges")
+    return named if named is not None else edges.select(F.col("src").alias("node"), F.col("dst").alias("label"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -189,13 +198,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     live = spill(members.join(bounded.select("fp", "n", "c"), "fp"), "live")
 
-    def compared(pairs: DataFrame) -> DataFrame:
-        """Of distinct pairs (a, b) that the estimate doesn't rule out: both, the size of the common set."""
+    def estimated(pairs: DataFrame) -> DataFrame:
+        """Of distinct pairs (a, b) those that the estimate doesn't rule out."""
         side = bounded.select("fp", "n", "regs")
         p = pairs.join(side.select(F.col("fp").alias("a"), F.col("n").alias("n_a"), F.col("regs").alias("regs_a")), "a")
         p = p.join(side.select(F.col("fp").alias("b"), F.col("n").alias("n_b"), F.col("regs").alias("regs_b")), "b")
-        p = p.where(_likely(F.col("regs_a"), F.col("regs_b"), F.col("n_a"), F.col("n_b"), num, den)).select("a", "b")
-        p = p.join(sets.select(F.col("fp").alias("b"), F.col("shingles").alias("s_b")), "b")
+        return p.where(_likely(F.col("regs_a"), F.col("regs_b"), F.col("n_a"), F.col("n_b"), num, den)).select("a", "b")
+
+    def compared(pairs: DataFrame) -> DataFrame:
+        """Pairs with both, the size of the common set, and whether that links them."""
+        p = pairs.join(sets.select(F.col("fp").alias("b"), F.col("shingles").alias("s_b")), "b")
         p = p.join(sets.select(F.col("fp").alias("a"), F.col("shingles").alias("s_a")), "a")
         p = p.withColumn("both", F.size(F.array_intersect("s_a", "s_b")))
         return p.select("a", "b", "both", (den * F.col("both") >= num * (F.size("s_a") + F.size("s_b") - F.col("both"))).alias("linked"))
@@ -208,7 +220,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     star = [near.select("fp", "n", "c", *[F.col(f"{v}.{x}").alias(f"{x}_p") for x in ("fp", "n", "c")]) for v in ("p", "q")]
     star = star[0].union(star[1]).where("fp != fp_p").where(_reachable(F.col("n"), F.col("c"), F.col("n_p"), F.col("c_p"), num, den))
     star = spill(star.select(F.least("fp", "fp_p").alias("a"), F.greatest("fp", "fp_p").alias("b")).distinct(), "star")
-    seen = spill(compared(star), "seen")
+    seen = spill(compared(estimated(star)), "seen")
     links = seen.where("linked").select("a", "b")
     first = components(links)
 
@@ -235,7 +247,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
     apart = apart.select(F.least("fp", "fp_x").alias("a"), F.greatest("fp", "fp_x").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
     more = spill(compared(apart).where("linked").select("a", "b"), "links")
-    final = first if more.isEmpty() else components(links.union(more))
+    if more.isEmpty():
+        final = first
+    else:  # the new links are between labels, or nodes that had none
+        at = lambda c: first.select(F.col("node").alias(c), F.col("label").alias(f"label_{c}"))
+        between = more.join(at("a"), "a", "left").join(at("b"), "b", "left").select(F.coalesce("label_a", "a").alias("a"), F.coalesce("label_b", "b").alias("b"))
+        joined = components(between)
+        named = first.join(joined.select(F.col("node").alias("label"), F.col("label").alias("root")), "label", "left").select("node", F.coalesce("root", "label").alias("label"))
+        final = named.unionByName(joined.join(first.select("node"), "node", "left_anti"))
 
     # a component's id is the smallest id of all its documents
     names = nodes.select("fp", F.col("rep.id").alias("low"), "copies").join(final.withColumnRenamed("node", "fp"), "fp", "left")

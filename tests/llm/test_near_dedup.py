@@ -84,3 +84,9 @@ def test_registers_hold_the_smallest_hash():
     assert (more >> nd.MANTISSA_BITS >= r >> nd.MANTISSA_BITS).all()  # more hashes: more leading zeros
     assert more[0] >> nd.MANTISSA_BITS == nd.REST_BITS  # of 1: all but the last bit
     assert not nd.registers(u[:0]).any()
+
+
+def test_components_of_a_long_chain_and_a_star(spark):
+    chain = [(i, i + 1) for i in range(500)] + [(1000, i) for i in range(1001, 1400)] + [(2000, 2000)]
+    got = {r.node: r.label for r in nd.components(spark.createDataFrame(chain, "a long, b long")).collect()}
+    assert got == {i: 0 for i in range(501)} | {i: 1000 for i in range(1000, 1400)}
