@@ -136,7 +136,7 @@ def build_ivf(items: DataFrame, cells: int = 16, id_col: str = "vec_id", vector_
     return IvfIndex(rows.mapInArrow(functools.partial(_assign, centres=centres), f"item {kind}, v {vector}, cell int"), centres)
 
 
-def ivf_search(index: IvfIndex, queries: DataFrame, k: int, probes: int = 6, query_id: str = "vec_id", query_vector: str = "embedding") -> DataFrame:
+def ivf_search(index: IvfIndex, queries: DataFrame, k: int, probes: int = 12, query_id: str = "vec_id", query_vector: str = "embedding") -> DataFrame:
     """Approximate top k: each query looks into its nearest cells."""
     kind = index.items.schema["item"].dataType.simpleString()
     out = None
