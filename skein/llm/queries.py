@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.llm.common import table
+from skein.llm.oracles import NEAR_DUPLICATES, QUALITY, WARC
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,7 +67,8 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from skein.llm.quality import quality
 
-    return quality(table(spark, sf_dir, "documents"))
+    found = quality(table(spark, sf_dir, "documents"))
+    return found.withColumns({c: F.round(c, 6) for c in ("class_distance", "word_distance")})
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,4 +90,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_warc": op10_warc,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op6_near_duplicates": NEAR_DUPLICATES, "op9_quality": QUALITY, "op10_warc": WARC}
