@@ -584,7 +584,7 @@ def metrics_keyword_retrieval(spark, sf):
     """Items' long words against the documents of each language as chunks: the items are the stated query set."""
     kw = table(spark, sf, "benchmark").select("item_id", F.array_distinct(F.filter(text.tokens(F.col("text")), lambda w: F.length(w) > 4)).alias("kw")).where("size(kw) > 0")
     sets = [(r.item_id, r.kw) for r in kw.toLocalIterator()]
-    lists = F.array(*[F.struct(F.lit(i).alias("item_id"), F.array(*[F.lit(w) for w in ws]).alias("kw")) for i, ws in sets])
+    lists = F.array(*[F.struct(F.lit(i).cast("long").alias("item_id"), F.array(*[F.lit(w) for w in ws]).alias("kw")) for i, ws in sets])
     low = table(spark, sf, "documents").select("lang", F.lower("text").alias("t"))
     hit = F.transform(lists, lambda s: F.struct(s["item_id"].alias("item_id"), F.size(s["kw"]).alias("n"), (F.size(F.filter(s["kw"], lambda w: F.contains(F.col("t"), w))) >= 0.3 * F.size(s["kw"])).cast("int").alias("ok")))
     rows = low.select("lang", F.inline(hit))
