@@ -185,7 +185,7 @@ def parse_records(stream) -> Iterator[tuple[dict[str, str], bytes]]:
     def more() -> bool:
         nonlocal pack, data, ended
         while not ended:
-            raw = pack.unused_data or stream.read(1 << 20)
+            raw = pack.unused_data or stream.read(1 << 16)  # small: what follows a member is copied with each
             if pack.eof:
                 pack = zlib.decompressobj(31)
             if not raw:
