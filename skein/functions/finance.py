@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 CONTEXT_CHARS = 50
 NUMBER_CHARS = 100
+MARK = "\ue000"
 
 # The patterns, keywords and factors of the extraction rules, in the order of the results.
 CURRENCY_PATTERNS = {
@@ -19,6 +20,8 @@ CURRENCY_PATTERNS = {
     "GBP": (r"£\s*([\d,]+(?:\.\d{1,2})?)", r"([\d,]+(?:\.\d{1,2})?)\s*(?:GBP|pounds?)"),
     "INR": (r"₹\s*([\d,]+(?:\.\d{1,2})?)", r"([\d,]+(?:\.\d{1,2})?)\s*(?:INR|rupees?)", r"Rs\.?\s*([\d,]+(?:\.\d{1,2})?)"),
 }
+#: What a text must hold, in lower case, for the patterns of a currency to match at all.
+CURRENCY_NEEDS = {"USD": (("$",), ("usd", "dollar"), ("us$",)), "EUR": (("€",), ("eur",)), "GBP": (("£",), ("gbp", "pound")), "INR": (("₹",), ("inr", "rupee"), ("rs",))}
 PERCENTAGE = r"(-?[\d,]+(?:\.\d+)?)\s*%"
 MONTHS = "Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec"
 DATE_PATTERNS = (
@@ -50,10 +53,15 @@ NEAR_NUMBER = r"[\$€£₹]?\s*([\d,]+(?:\.\d+)?)\s*(?:million|billion|M|B)?"
 ENTITY = "struct<entity_type:string,value:string,normalized_number:double,normalized_ts:timestamp_ntz,context:string,confidence:double>"
 
 
-def spans(text: Column, pattern: str) -> Column:
-    """array of struct(start, value): every match of a pattern, start counted from 0."""
+def spans(text: Column, pattern: str, needs: tuple[str, ...] = ()) -> Column:
+    """array of struct(start, value): every match of a pattern, start counted from 0.
+
+    needs: lower-case strings one of which any match holds; a search for them spares most texts the pattern.
+    """
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found))
+    # a one-character separator is split on without a pattern being compiled for each row
+    parts = F.when(text.contains(MARK), F.split(text, pattern, -1)).otherwise(F.split(F.regexp_replace(text, pattern, MARK), MARK, -1))
+    gaps = F.slice(parts, F.lit(1), F.size(found))
 
     def step(s, x):
         start = s["at"] + F.length(x["gap"])
@@ -61,7 +69,10 @@ def spans(text: Column, pattern: str) -> Column:
 
     zipped = F.zip_with(gaps, found, lambda g, v: F.struct(g.alias("gap"), v.alias("value")))
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,value:string>>").alias("out"))
-    return F.when(text.rlike(pattern), F.aggregate(zipped, start, step)["out"]).otherwise(F.array().cast("array<struct<start:int,value:string>>"))
+    some = F.lit(False)
+    for n in needs:
+        some = some | F.lower(text).contains(n)
+    return F.when(some if needs else text.rlike(pattern), F.aggregate(zipped, start, step)["out"]).otherwise(F.array().cast("array<struct<start:int,value:string>>"))
 
 
 def to_number(value: Column) -> Column:
@@ -92,7 +103,7 @@ def percentage_kind(near: Column) -> Column:
     return out.otherwise(F.lit("other"))
 
 
-def _entities(text: Column, pattern: str, make) -> Column:
+def _entities(text: Column, pattern: str, make, needs: tuple[str, ...] = ()) -> Column:
     """make(match, context) -> (type, number, timestamp, confidence)."""
 
     def entity(m):
@@ -100,13 +111,13 @@ def _entities(text: Column, pattern: str, make) -> Column:
         kind, number, ts, sure = make(m, near)
         return F.struct(kind.alias("entity_type"), m["value"].alias("value"), number.cast("double").alias("normalized_number"), ts.cast("timestamp_ntz").alias("normalized_ts"), near.alias("context"), F.lit(sure).alias("confidence"))
 
-    return F.transform(spans(text, pattern), entity)
+    return F.transform(spans(text, pattern, needs), entity)
 
 
 def currencies(text: Column) -> Column:
     out = []
     for code, patterns in CURRENCY_PATTERNS.items():
-        for p in patterns:
+        for p, needs in zip(patterns, CURRENCY_NEEDS[code], strict=True):
             pattern = f"(?i){p}"
 
             def make(m, near, code=code, pattern=pattern):
@@ -114,12 +125,12 @@ def currencies(text: Column) -> Column:
                 number = F.when(factor.isNotNull() & (number != 0), number * factor).otherwise(number)
                 return F.lit(f"currency_{code}"), number, F.lit(None), 0.9
 
-            out.append(_entities(text, pattern, make))
+            out.append(_entities(text, pattern, make, needs))
     return F.concat(*out)
 
 
 def percentages(text: Column) -> Column:
-    return _entities(text, PERCENTAGE, lambda m, near: (F.concat(F.lit("percentage_"), percentage_kind(near)), to_number(F.regexp_extract(m["value"], PERCENTAGE, 1)), F.lit(None), 0.95))
+    return _entities(text, PERCENTAGE, lambda m, near: (F.concat(F.lit("percentage_"), percentage_kind(near)), to_number(F.regexp_extract(m["value"], PERCENTAGE, 1)), F.lit(None), 0.95), ("%",))
 
 
 def dates(text: Column, fix_dates: bool = False) -> Column:
@@ -147,7 +158,7 @@ def metrics(text: Column) -> Column:
                 after = F.substring(text, m["start"] + F.length(m["value"]) + 1, F.lit(NUMBER_CHARS))
                 return F.lit(f"metric_{kind}"), to_number(F.regexp_extract(after, NEAR_NUMBER, 1)), F.lit(None), 0.8
 
-            out.append(_entities(text, rf"(?iU)\b\Q{word}\E\b", make))
+            out.append(_entities(text, rf"(?iU)\b\Q{word}\E\b", make, (word,)))
     return F.concat(*out)
 
 
