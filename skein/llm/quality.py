@@ -39,6 +39,8 @@ CLASSES = ("blank", "symbol", "upper", "digit", "punctuation", "other")
 
 #: Distances past these fail.
 MOST_CLASS_DISTANCE, MOST_WORD_DISTANCE = 0.25, 0.75
+#: References of so many languages take about 10 MB, and are sent to all executors; more are joined by shuffle.
+MOST_LANGUAGES = 10_000
 LEAST_CHARS, LEAST_COMMON, LEAST_REFERENCE = 200, 100, 2000
 
 
@@ -107,8 +109,9 @@ def references(found: DataFrame) -> DataFrame:
 
 def judged(found: DataFrame, max_class: float = MOST_CLASS_DISTANCE, max_word: float = MOST_WORD_DISTANCE) -> DataFrame:
     """measured() with base_failed, class_distance, word_distance (null under the minimum lengths) and kept."""
-    ref = references(found)
-    df = found.join(ref, F.col("lang").eqNullSafe(F.col("r_lang")), "left")
+    ref = spill(references(found), "references")
+    few = ref.count() <= MOST_LANGUAGES  # a language may hold a third of all rows, so they are not dealt out by it
+    df = found.join(F.broadcast(ref) if few else ref, F.col("lang").eqNullSafe(F.col("r_lang")), "left")
     own = F.map_from_entries("common")
     n = F.aggregate("common", F.lit(0).cast("long"), lambda s, x: s + x["m"])
     df = df.withColumn("n_common", n).withColumn("own", own)
