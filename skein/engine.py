@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from skein.errors import DocumentProcessingError, FileSizeExceededError, NotFoundError, UnsupportedFileTypeError, ValidationError
 from skein.operators import bm25, hybrid, vectors
 from skein.plans import answering, evaluation, ingestion
+from skein.ship import ship
 from skein.sources import files
 from skein.sources.catalog import Catalog
 
@@ -22,6 +23,7 @@ SOURCES, SOURCE_CHARS, SNIPPET_CHARS = 5, 500, 300
 
 class Engine:
     def __init__(self, spark: SparkSession, path: str, config: ingestion.IngestConfig | None = None, generate: answering.Generator = answering.extractive, retriever: hybrid.RetrieverConfig | None = None):
+        ship(spark)
         self.spark, self.catalog, self.config = spark, Catalog(spark, path), config or ingestion.IngestConfig()
         self.generate, self.retriever = answering.with_retries(generate), retriever or hybrid.RetrieverConfig()
 
