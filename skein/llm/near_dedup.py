@@ -16,7 +16,8 @@ No group is ever expanded into all its pairs:
   and one drawn by hash;
 * once those links have been closed into components, only pairs of a bucket that are still in
   different components, within the bounds (also the sharper one that the exact overlaps with the pivot
-  give) and not ruled out by the estimate are compared; that pass makes the result exact.
+  give) and not ruled out by the estimate are compared.  After that pass the components are those of all
+  links, but for what the bands miss and for pairs estimated SIGMAS deviations too low.
 
 Edge cases: a null or blank text has an empty set and links with nothing; with fewer than k words the
 whole sequence is the one shingle; rows with a null id keep a null component and are kept; rows that
