@@ -30,10 +30,13 @@ class Bm25Index:
 
 def fit(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "content") -> Bm25Index:
     """A pure function of the chunks: refitting never doubles anything."""
-    words = chunks.select(F.col(id_col).alias("chunk_id"), tokens(F.col(text_col)).alias("words"))
-    lengths = words.select("chunk_id", F.size("words").alias("dl"))
-    postings = words.select("chunk_id", F.explode("words").alias("token")).groupBy("chunk_id", "token").agg(F.count("*").alias("tf"))
-    return Bm25Index(postings, lengths, postings.groupBy("token").agg(F.count("*").alias("df")), lengths.agg(F.count("*").alias("n"), (F.sum("dl") / F.greatest(F.count("*"), F.lit(1))).alias("avgdl")))
+    words = chunks.select(F.col(id_col).alias("chunk_id"), F.explode(tokens(F.col(text_col))).alias("token"))
+    postings = words.groupBy("chunk_id", "token").agg(F.count("*").alias("tf"))
+    # lengths come from the postings, not from the texts again; chunks without words have none, but count
+    lengths = postings.groupBy("chunk_id").agg(F.sum("tf").alias("dl"))
+    total = lengths.agg(F.coalesce(F.sum("dl"), F.lit(0)).alias("total"))
+    corpus = chunks.agg(F.count("*").alias("n")).crossJoin(F.broadcast(total))  # one row each
+    return Bm25Index(postings, lengths, postings.groupBy("token").agg(F.count("*").alias("df")), corpus.select("n", (F.col("total") / F.greatest(F.col("n"), F.lit(1))).alias("avgdl")))
 
 
 def save(index: Bm25Index, path: str) -> None:
