@@ -2,7 +2,8 @@
 
 The budget is the size of the corpus in words.  Sources share it by weight; no target passes
 max_repeats times its source, and what is left over is shared again by weight.  The budget is cut into
-equal blocks, and the blocks go to the sources by the highest quotients target / (2 * seats + 1).  As
+equal blocks, small beside the smallest target, and the blocks go to the sources by the highest quotients
+target / (2 * seats + 1).  As
 that method is house-monotone, the seats of the first h shards' blocks taken from those of the first
 h + 1 give each mix shard its own integer quota of every source.  A source's documents lie on a line in
 seeded order; its blocks are cut along that line and taken in that order, from the start again when a
@@ -29,7 +30,7 @@ from skein.llm.common import WORD, spill, text_key
 
 WEIGHTS = (5, 2, 1)
 MAX_REPEATS = 3
-#: Mean blocks of a source: its take is right to about half a block.
+#: Blocks of the source with the smallest target: its take is right to about half a block.
 BLOCKS_PER_SOURCE = 1000
 #: Rows of a hash range of a source, about.
 RANGE_ROWS = 2000
@@ -62,7 +63,8 @@ def quotas(shares: DataFrame, shards: int = MIX_SHARDS, blocks_per_source: int =
     """targets() -> place, shard, block (words a block), blocks: each mix shard's integer quota of each source."""
     whole = Window.partitionBy()
     total, n = F.sum("source_size").over(whole), F.count("*").over(whole)
-    block = F.greatest(F.lit(1), F.floor(total / (n * blocks_per_source))).cast("long")
+    least = F.min(F.when(F.col("target") > 0, F.col("target"))).over(whole)  # so that no source is too small for the blocks
+    block = F.greatest(F.lit(1), F.floor(F.least(total / n, least) / blocks_per_source)).cast("long")
     house = shares.where("source_size > 0").select("place", "target", n.alias("n"), total.alias("total"), block.alias("block"))
     house = house.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
     seats = F.floor(F.col("total") / F.col("block"))

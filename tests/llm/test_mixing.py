@@ -79,6 +79,17 @@ def test_quotas_are_sainte_lague(spark, sizes):
         assert held == want
 
 
+@pytest.mark.parametrize("sizes", [[200_000] * 19 + [10], [250_000_000] * 19 + [30_000], [2_000_000_000, 7, 3_000_000_000, 400, 90_000]])
+def test_small_sources_get_their_targets(spark, sizes):
+    table = spark.createDataFrame([(f"s{i:03}", n) for i, n in enumerate(sizes)], "source string, source_size long")
+    shares = mx.targets(table)
+    taken = defaultdict(int)
+    for r in mx.quotas(shares).collect():
+        taken[r.place] += r.blocks * r.block
+    for r in shares.collect():
+        assert abs(taken[r.place] - r.target) <= 0.002 * r.target + 1, (r.source, taken[r.place], r.target)
+
+
 def test_rows_of_the_mix(spark):
     docs = frame(spark, ROWS)
     taken = {r.doc_id: -(-r.taken // r.size) if r.size else 0 for r in mx.mix_documents(docs).collect()}
