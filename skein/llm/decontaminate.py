@@ -4,9 +4,10 @@ Test items are the stated query set.  Their word n-grams go into an Aho-Corasick
 at most BLOCK_WORDS words, so that an automaton's size is bounded whatever the benchmark), one scan of the
 training texts finds every occurrence, and hits of one item that lie near each other become a passage: the
 words around them, wide enough for the whole item.  Each n-gram's document frequency is counted over the
-corpus; a passage goes on if it has a rare seed: an n-gram in at most rare_df documents, or at most twice
-the median frequency of its item's n-grams (so that an item that leaked often keeps its seeds, while
-boilerplate inside an item nominates nothing).  Items of fewer than n words are one n-gram.
+corpus; a passage goes on at once if it has a rare seed: an n-gram in at most rare_df documents, or at most
+twice the median frequency of its item's n-grams.  A passage whose n-grams are all more frequent goes on if
+it has so many of the item's words that an alignment could reach `least`; no alignment has more matches than
+that, so rarity saves work and loses nothing.  Items of fewer than n words are one n-gram.
 
 Passage and item are aligned by words: +2 for a match, -1 for a mismatch or gap.  A document is
 contaminated if an alignment reaches `least` of an item's perfect score, which takes in exact and edited
@@ -23,6 +24,7 @@ from __future__ import annotations
 import functools
 import re
 from bisect import bisect_right
+from collections import Counter
 from collections.abc import Iterator
 from itertools import accumulate
 
@@ -101,14 +103,26 @@ def find_passages(text: str, auto, lengths: list[int]) -> list[tuple[int, list[i
     return out
 
 
+@functools.lru_cache(maxsize=100_000)
+def _counts(item: str) -> Counter:
+    return Counter(words_of(item))
+
+
+def reach(item: str, passage: str) -> float:
+    """No alignment of the two has a greater share of the item's perfect score."""
+    own = _counts(item)
+    there = Counter(passage.split(" "))
+    return sum(min(m, there[w]) for w, m in own.items()) / own.total()
+
+
 def _scan(batches: Iterator[pa.RecordBatch], items: tuple, n: int, block: int, id_type: pa.DataType) -> Iterator[pa.RecordBatch]:
     auto, lengths, any_grams = _automaton(items, n)
-    schema = pa.schema([("id", id_type), ("tkey", pa.int64()), ("item_id", pa.int64()), ("item", pa.string()), ("block", pa.int32()), ("grams", pa.list_(pa.int32())), ("low", pa.int32()), ("passage", pa.string())])
+    schema = pa.schema([("id", id_type), ("tkey", pa.int64()), ("item_id", pa.int64()), ("item", pa.string()), ("block", pa.int32()), ("grams", pa.list_(pa.int32())), ("low", pa.int32()), ("passage", pa.string()), ("reach", pa.float64())])
     for batch in batches:
         rows: dict[str, list] = {k: [] for k in schema.names}
         for id_, tkey, text in zip(*(batch.column(c).to_pylist() for c in ("id", "tkey", "text")), strict=True):
             for item, grams, low, passage in find_passages(text, auto, lengths) if text and any_grams else ():
-                for k, v in zip(schema.names, (id_, tkey, items[item][0], items[item][1], block, grams, low, passage), strict=True):
+                for k, v in zip(schema.names, (id_, tkey, items[item][0], items[item][1], block, grams, low, passage, reach(items[item][1], passage)), strict=True):
                     rows[k].append(v)
         yield pa.RecordBatch.from_pydict(rows, schema=schema)
 
@@ -164,7 +178,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     small_batches(spark)
     rows = docs.select(F.col(id_col).alias("id"), text_key(F.col(text_col)).alias("tkey"), F.col(text_col).alias("text"))
     id_type = rows.schema["id"].dataType.simpleString()
-    schema = f"id {id_type}, tkey long, item_id long, item string, block int, grams array<int>, low int, passage string"
+    schema = f"id {id_type}, tkey long, item_id long, item string, block int, grams array<int>, low int, passage string, reach double"
     arrow_id = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}.get(id_type) or pa.int64()
     found = None
     items: list[tuple[int, str]] = []
@@ -185,7 +199,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     of_item = seen.select("block", "item_id", "gram").distinct().join(df, ["block", "gram"])
     rare = of_item.join(of_item.groupBy("block", "item_id").agg(F.percentile("df", 0.5).alias("mid")), ["block", "item_id"])
     rare = rare.where(F.col("df") <= F.greatest(F.lit(float(rare_df)), 2 * F.col("mid"))).groupBy("block", "item_id").agg(F.collect_list("gram").alias("seeds"))
-    chosen = found.join(rare, ["block", "item_id"]).where(F.arrays_overlap("grams", "seeds")).select("id", "tkey", "item_id", "item", "low", "passage")
+    chosen = found.join(rare, ["block", "item_id"], "left").where(F.arrays_overlap("grams", "seeds") | (F.col("reach") >= least)).select("id", "tkey", "item_id", "item", "low", "passage")
     scored = chosen.mapInArrow(_verify, f"id {id_type}, tkey long, item_id long, score int, ratio double, start_word int, end_word int").where(F.col("ratio") >= least)
     best = F.max(F.struct("score", (-F.col("start_word")).alias("s"), "ratio", "start_word", "end_word"))
     return scored.groupBy("id", "tkey", "item_id").agg(best.alias("b")).select("id", "tkey", "item_id", "b.score", "b.ratio", "b.start_word", "b.end_word")

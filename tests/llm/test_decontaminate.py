@@ -75,6 +75,14 @@ def test_leaked_item_keeps_its_seeds_and_blocks_agree(spark, monkeypatch):
     assert sorted(map(str, dc.contaminated(d, b, rare_df=3).collect())) == whole
 
 
+def test_many_edited_copies_of_one_item_are_all_found(spark):
+    item = [f"word{i}" for i in range(40)]
+    edited = " ".join(w if i % 5 else f"other{i}" for i, w in enumerate(item))
+    docs = [(i, f"before{i} {edited} after{i}") for i in range(150)] + [(150, " ".join(item)), (151, f"{' '.join(item[1:5])} and nothing else")]
+    d, b = frames(spark, docs, [(1, " ".join(item))])
+    assert sorted(r.id for r in dc.contaminated(d, b).collect()) == list(range(151))
+
+
 def test_edge_cases_and_stage(spark):
     item = "alpha beta gamma delta epsilon zeta eta theta iota kappa"
     docs = [(1, item), (1, item), (None, f"... {item.upper()}!"), (2, None), (3, ""), (4, "clean " * 50000), (5, item + " " + item)]
