@@ -3,7 +3,7 @@
 Each stage takes (spark, docs, sf_dir) and returns what it keeps; between stages the rows are written as
 Parquet and read again.  All stages but the last return the columns of documents.
 
-* toxicity: documents that score 0.5 or more go (model trained on the labels that may be learned from);
+* toxicity: documents that op1 predicts as toxic, by score and threshold, go (model trained on the labels that may be learned from);
 * near_dedup: one document of each group of near copies stays (five words, similarity of 0.8 or more);
 * decontamination: documents that hold a benchmark item go;
 * mixing: each document comes once for every pass that takes words of it, so repeated sources repeat rows;
@@ -24,9 +24,9 @@ from skein.llm.decontaminate import drop_contaminated
 from skein.llm.mixing import mixed_rows
 from skein.llm.near_dedup import drop_near_duplicates
 from skein.llm.sharding import shard_documents
-from skein.llm.toxicity import drop_toxic, held_out, train
+from skein.llm.toxicity import THRESHOLD, drop_toxic, held_out, train
 
-REJECT_SCORE = 0.5
+REJECT_SCORE = THRESHOLD
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -85,6 +85,18 @@ def test_stages_equal_brute_force(spark, case, tmp_path):
     assert max(counts.values()) - min(counts[i] for i in range(40)) <= 1
 
 
+def test_toxicity_stage_drops_what_op1_predicts(spark, case, monkeypatch):
+    model = tx.ToxicityModel()
+    score = lambda t: tx.score_of(tx.features_of(*tx.hits_of(t, model.terms), model.terms), model.weights)
+    texts = [" ".join(["you idiot", *["calm"] * n]) for n in range(0, 400, 2)]
+    between = [t for t in texts if tx.THRESHOLD <= score(t) < 0.5]
+    assert between
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in enumerate([*between, "calm " * 50])], COLUMNS)
+    monkeypatch.setattr(cp, "train", lambda *_: model)
+    want = {r.doc_id for r in tx.score_documents(docs, model).collect() if not r.predicted}
+    assert {r.doc_id for r in cp.toxicity(spark, docs, case[0]).collect()} == want == {len(between)}
+
+
 def test_run_gives_the_same_again(spark, case):
     sf = case[0]
     a, b = (sorted(map(str, cp.run(spark, sf).collect())) for _ in range(2))
