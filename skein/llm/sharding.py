@@ -7,8 +7,11 @@ without links can go anywhere), and the documents that a hash draws move.  Round
 their row quota release documents to those below it: documents without links first, then whole groups in
 order, so that few links are cut.  Counts then differ by one at most: the law is `rows`.
 
-A group that is larger than half a quota is dealt into parts of about that size beforehand; it has to be
-cut in any case, and no key then holds more than 1 in 2 * shards of the rows.  Ranks (which documents
+A group that is larger than a quota has to be cut; it is dealt into as few parts as hold it beforehand.  No
+two groups or parts of more than half a quota fit on one shard, so each of them starts whole on a shard of
+its own, as long as there are shards, and is the last to release documents.  There are fewer than
+2 * shards of them, apart from what dealing by hash makes uneven.  Joins by part are salted, so that
+no key holds more than about SALT_ROWS rows.  Ranks (which documents
 leave, and slots) are counted in small hash ranges of a shard plus the counts of the ranges before.
 What the driver sees is the table of flows, shards x shards numbers at any input size.
 
@@ -31,6 +34,8 @@ MAX_ROUNDS = 8
 #: While moving, shards may pass their quota by this share; the last step takes it back.
 SLACK = 0.03
 RANGE_ROWS = 2000
+#: Rows of a part that meet in one key, about.
+SALT_ROWS = 500
 
 
 def _intake(flows: dict[tuple[int, int], int], held: list[int], room: float) -> list[float]:
@@ -79,14 +84,24 @@ def shard_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return rows.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), F.col("label").alias("shard"), F.col("h").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), F.col("h").alias("group_rows"), *[F.col(f"keep_{i}").alias(c) for i, c in enumerate(keep)])
     quota = n / shards
     marked = rows.join(groups, "g", "left")
-    parts = F.ceil(F.col("m") / max(1.0, quota / 2))
-    rows = spill(marked.withColumn("part", F.when(F.col("m").isNotNull(), F.struct("g", F.pmod(F.xxhash64("h"), parts).alias("i")))).drop("g"), "rows")
+    parts = F.ceil(F.col("m") / math.ceil(quota))
+    marked = marked.withColumn("part", F.when(F.col("m").isNotNull(), F.struct("g", F.pmod(F.xxhash64("h"), parts).alias("i"))))
+    marked = marked.withColumn("salts", F.coalesce(F.ceil(F.col("m") / parts / SALT_ROWS), F.lit(1))).withColumn("salt", F.pmod(F.xxhash64("h", F.lit("salt")), F.col("salts")))
+    rows = spill(marked.drop("g"), "rows")
+
+    # parts that cannot share a shard start whole
+    wide = [(bytes(r.part.g), r.part.i, r.m) for r in rows.where("part is not null").groupBy("part").agg(F.count("*").alias("m")).where(F.col("m") > max(1.0, quota / 2)).collect()]
+    wide = sorted(wide, key=lambda p: (-p[2], p[0], p[1]))[:shards]
+    seats = docs.sparkSession.createDataFrame([(g, i, k) for k, (g, i, _) in enumerate(wide)], "seat_g binary, seat_i long, seat int")
+    rows = rows.join(F.broadcast(seats), (F.col("part.g") == F.col("seat_g")) & (F.col("part.i") == F.col("seat_i")), "left").drop("seat_g", "seat_i")
+    rows = rows.withColumn("label", F.coalesce("seat", "label"))
 
     singles, linked = rows.where("part is null"), rows.where("part is not null")
     for turn in range(max_rounds):
-        votes = linked.groupBy("part", "label").agg(F.count("*").alias("m"))
-        wish = votes.groupBy("part").agg(F.max(F.struct("m", F.xxhash64("part", "label").alias("tie"), "label")).getField("label").alias("wish"))
-        wishes = spill(linked.join(wish, "part"), "wishes")
+        votes = linked.groupBy("part", "label").agg(F.count("*").alias("m"), F.max("salts").alias("salts"))
+        wish = votes.groupBy("part").agg(F.max(F.struct("m", F.xxhash64("part", "label").alias("tie"), "label")).getField("label").alias("wish"), F.max("salts").alias("salts"))
+        wish = wish.select("part", "wish", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"))
+        wishes = spill(linked.join(wish, ["part", "salt"]), "wishes")
         flows = {(r.label, r.wish): r["count"] for r in wishes.where("label != wish").groupBy("label", "wish").count().collect()}
         if not flows:
             break
@@ -110,7 +125,9 @@ def shard_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     excess = [max(0, h - g) for h, g in zip(held, goal, strict=True)]
     lack = [max(0, g - h) for h, g in zip(held, goal, strict=True)]
     spans = 1 << max(0, math.ceil(math.log2(max(1, n / RANGE_ROWS / shards))))
-    hashed = F.when(F.col("part").isNull(), F.pmod(F.xxhash64("h"), F.lit(spans))).otherwise(spans + F.pmod(F.xxhash64("part"), F.lit(spans)))
+    hashed = F.when(F.col("part").isNull(), F.pmod(F.xxhash64("h"), F.lit(spans))).when(F.col("seat").isNotNull(), F.lit(2 * spans)).otherwise(spans + F.pmod(F.xxhash64("part"), F.lit(spans)))
+    own = F.when(F.col("salts") > 1, F.xxhash64("part")).otherwise(F.lit(0))  # a salted part's ranges lie together
+    hashed = F.struct(hashed.alias("a"), own.alias("b"), F.col("salt").alias("c"))
     ranked = _ranked(rows, "label", hashed, ["part", "h", "doc_id"])
     first = [sum(excess[:i]) for i in range(shards)]
     ends = [sum(lack[: i + 1]) for i in range(shards)]

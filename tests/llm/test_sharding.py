@@ -41,6 +41,30 @@ def test_groups_stay_together_and_counts_even(spark):
     assert sorted(map(str, got)) == sorted(map(str, again))
 
 
+def test_groups_that_fit_on_a_shard_are_not_cut(spark):
+    sizes = [100, 95, 80, 70, 60, 51, 51]
+    rows = [(1000 * g + i, f"group {g}") for g, m in enumerate(sizes) for i in range(m)]
+    rows += [(50_000 + i, f"small {i // 3}") for i in range(120)] + [(90_000 + i, f"single {i}") for i in range(800 - sum(sizes) - 120)]
+    got = sh.shard_documents(frame(spark, rows), shards=8).collect()
+    checked(got, rows, 8)
+    at = defaultdict(set)
+    for r in got:
+        if r.doc_id < 50_000:
+            at[r.doc_id // 1000].add(r.shard)
+    assert all(len(at[g]) == 1 for g in range(len(sizes))), at
+
+
+def test_salted_parts(spark, monkeypatch):
+    rows = [(i, f"group {min(i // 130, 2)}") for i in range(600)] + [(1000 + i, f"single {i}") for i in range(200)]
+    monkeypatch.setattr(sh, "SALT_ROWS", 16)
+    got = sh.shard_documents(frame(spark, rows), shards=4).collect()
+    checked(got, rows, 4)
+    at = defaultdict(Counter)
+    for r in got:
+        at[min(r.doc_id // 130, 2) if r.doc_id < 1000 else None][r.shard] += 1
+    assert len(at[0]) == len(at[1]) == 1 and len(at[2]) <= 4, at
+
+
 def test_hot_group_nulls_repeats_and_empty(spark):
     rows = [(i, "hot") for i in range(200)] + [(i, None) for i in range(200, 230)] + [(i, "") for i in range(230, 240)] + [(7, "again"), (7, "again"), (None, "no id"), (None, "hot"), (900, "long " * 200000)]
     got = sh.shard_documents(frame(spark, rows), shards=5, keep=("m",)).collect()
