@@ -247,6 +247,13 @@ def chunk_types(spark, sf):
     return lines.groupBy(chunking.chunk_type(F.col("line")).alias("chunk_type")).agg(F.count("*").alias("lines"))
 
 
+@query()
+def chunk_types_all(spark, sf):
+    """All lines, those with a sharp s as well."""
+    lines = table(spark, sf, "documents").select(F.explode(F.split("text", "\n")).alias("line"))
+    return lines.groupBy(chunking.chunk_type(F.col("line")).alias("chunk_type")).agg(F.count("*").alias("lines"))
+
+
 # -- tables
 
 
@@ -283,6 +290,12 @@ def table_key_metrics(spark, sf):
     return tables.key_metrics(tables.cells(brand_tables(spark, sf))).where("total is not null").select("table_id", "metric", "keyword", "total", F.round("average", 6).alias("average"))
 
 
+@query()
+def table_key_metrics_all(spark, sf):
+    """By column name and by row label."""
+    return tables.key_metrics(tables.cells(brand_tables(spark, sf)))
+
+
 @query("SELECT p_brand AS table_id, CAST(row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS INT) AS seq, 'Row ' || row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) || ':' || chr(10) || '  Part: ' || p_name || chr(10) || '  Total Size: ' || p_size || chr(10) || '  Key: ' || p_partkey AS content FROM part")
 def table_row_chunks(spark, sf):
     return tables.table_chunks(brand_tables(spark, sf)).where("part = 'row'").select("table_id", "seq", "content")
@@ -302,6 +315,12 @@ def table_live_chunks(spark, sf):
     return tables.live_chunks(brand_tables(spark, sf)).where("part <> 'full_table'")
 
 
+@query()
+def table_live_chunks_all(spark, sf):
+    """All parts, whole tables as well."""
+    return tables.live_chunks(brand_tables(spark, sf))
+
+
 @query(
     """WITH s AS (SELECT p_brand, 'Total Size' AS header, CAST(sum(p_size) AS DOUBLE) AS s FROM part GROUP BY 1 UNION ALL SELECT p_brand, 'Key', CAST(sum(p_partkey) AS DOUBLE) FROM part GROUP BY 1)
     SELECT a.header, a.s AS table1_sum, b.s AS table2_sum, b.s - a.s AS change, round((b.s - a.s) / abs(a.s) * 100, 6) AS change_percent FROM s a JOIN s b USING (header) WHERE a.p_brand = (SELECT min(p_brand) FROM part) AND b.p_brand = (SELECT max(p_brand) FROM part)"""
