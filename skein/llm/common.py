@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,8 +20,8 @@ BLANKS = r"[\x20\x09-\x0D]+"
 #: Rows of an Arrow batch: long texts make large batches, so few of them.
 ARROW_ROWS = 1000
 
-#: An id table of at most this many rows is sent to every executor (16 bytes a row: 32 MB).
-BROADCAST_ROWS = 2_000_000
+#: A table of ids of at most this many rows is sent to every executor (24 bytes a row and its hash: under 50 MB).
+BROADCAST_ROWS = 500_000
 
 _own_dir: str | None = None
 
@@ -48,11 +50,48 @@ def fresh_path(spark: SparkSession, tag: str) -> str:
     return path
 
 
+@contextlib.contextmanager
+def _shuffles_freed(spark: SparkSession) -> Iterator[None]:
+    """Spark removes a query's shuffle files as soon as the query has ended; the session's setting comes back after."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    was = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if was is None else spark.conf.set(key, was)
+
+
 def spill(df: DataFrame, tag: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it again: cuts the lineage and survives lost executors."""
-    path = fresh_path(df.sparkSession, tag)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Write df as a table in the shared folder and read it again: cuts the lineage and survives lost executors.
+
+    Once it is written, the shuffles that made it are gone from disk.
+    """
+    spark = df.sparkSession
+    path = fresh_path(spark, tag)
+    with _shuffles_freed(spark):
+        df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._spilled = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables that spill() wrote; nothing that is still to run may read them."""
+    for df in tables:
+        sc = df.sparkSession.sparkContext
+        path = sc._jvm.org.apache.hadoop.fs.Path(df._spilled)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def packed(docs: DataFrame, **columns: Column) -> DataFrame:
+    """Columns of an operator's own beside docs' row as a struct, so that docs' columns may have any names."""
+    return docs.select(F.struct("*").alias("row"), *[c.alias(name) for name, c in columns.items()])
+
+
+def unpacked(df: DataFrame) -> DataFrame:
+    """The rows that packed() put away, with the columns that docs had."""
+    return df.select("row.*")
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -61,9 +100,9 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
 
 
-def semi_by_size(big: DataFrame, ids: DataFrame, on: list[str], n_ids: int) -> DataFrame:
-    """Rows of big whose key is in ids; ids go to all executors only while they number at most BROADCAST_ROWS."""
-    return big.join(F.broadcast(ids) if n_ids <= BROADCAST_ROWS else ids, on, "left_semi")
+def join_by_size(big: DataFrame, ids: DataFrame, on: list[str], n_ids: int, how: str = "inner") -> DataFrame:
+    """big joined with ids, which go to all executors only while they number at most BROADCAST_ROWS."""
+    return big.join(F.broadcast(ids) if n_ids <= BROADCAST_ROWS else ids, on, how)
 
 
 def text_key(text: Column) -> Column:
@@ -73,7 +112,3 @@ def text_key(text: Column) -> Column:
 
 def utf8(text: Column) -> Column:
     return F.coalesce(text, F.lit("")).cast("binary")
-
-
-def hash64(*cols) -> Column:
-    return F.xxhash64(*cols)

@@ -14,27 +14,39 @@ No group is ever expanded into all its pairs:
   no partner under that bound go, and every later pair has to satisfy it;
 * in each band bucket members are first compared with two pivots: the node with most shared shingles
   and one drawn by hash;
-* once those links have been closed into components, only pairs of a bucket that are still in
-  different components, within the bounds (also the sharper one that the exact overlaps with the pivot
-  give) and not ruled out by the estimate are compared.  After that pass the components are those of all
-  links, but for what the bands miss and for pairs estimated SIGMAS deviations too low.
+* once those links have been closed into components, only nodes of a bucket that are still in different
+  components are looked at again.  Two that were compared with the same pivot need no further data: what
+  each lacks of the pivot and adds to it says exactly what they share, so the join gives links and no other
+  pairs.  Pairs with a node that the bounds or the estimate kept from the pivot are bounded, estimated and
+  compared as before.  After that the components are those of all links, but for what the bands miss and
+  for pairs estimated SIGMAS deviations too low.
+
+With exact=True nothing is missed: the buckets are then the shingles of prefix filtering (of the shingles
+in order of their frequency, similar sets share one of the first n - t n + 1) and the estimate is not
+asked; the rest is the same.
+
+Sketches, sets and registers are each kept in one table; pairs are narrow until they are compared, and each
+table goes as soon as nothing needs it.  A pivot that many pairs meet is dealt out in copies, so that a
+key holds about SALT_ROWS pairs.
 
 Edge cases: a null or blank text has an empty set and links with nothing; with fewer than k words the
 whole sequence is the one shingle; rows with a null id keep a null component and are kept; rows that
-repeat an id are told apart by their text; other columns of the input are not read.
+repeat an id are told apart by their text; ties do not matter, as a component is named by its smallest id;
+other columns of the input are not read, and may have any names.
 """
 
 from __future__ import annotations
 
 import functools
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skein.llm.common import semi_by_size, small_batches, spill, text_key, utf8
+from skein.llm.common import BROADCAST_ROWS, join_by_size, packed, release, small_batches, spill, text_key, unpacked, utf8
 
 BUCKET_BITS, MANTISSA_BITS = 7, 10
 REGISTERS = 1 << BUCKET_BITS
@@ -43,6 +55,10 @@ BANDS = REGISTERS // BAND_ROWS
 REST_BITS = 64 - BUCKET_BITS
 #: An estimate this many standard deviations under the threshold still goes to verification.
 SIGMAS = 5.0
+#: Pairs of one pivot that meet in one key, about.
+SALT_ROWS = 500
+#: Registers are kept four to a long, a band in each: bits where they start.
+LANES = (0, 16, 32, 48)
 
 _U = np.uint64
 _MIX = (_U(0xBF58476D1CE4E5B9), _U(0x94D049BB133111EB), _U(0x9E3779B97F4A7C15))
@@ -83,44 +99,47 @@ def registers(u: np.ndarray) -> np.ndarray:
     return out
 
 
-def band_keys(regs: np.ndarray) -> np.ndarray:
-    """A key for each band, its number in the low 5 bits; 0 for a band without registers."""
-    rows = regs.reshape(BANDS, BAND_ROWS).astype(_U)
-    acc = np.arange(1, BANDS + 1, dtype=_U)
-    for j in range(BAND_ROWS):
-        acc = _mix(acc * _MIX[2] + rows[:, j])
-    keys = (acc << _U(5)) | np.arange(BANDS, dtype=_U)
-    return np.where(rows.any(axis=1), keys, _U(0)).view(np.int64)
+def packed_registers(regs: np.ndarray) -> np.ndarray:
+    """A long for each band, with its registers in LANES; 0 for a band without registers."""
+    return regs.astype("<u2").view("<i8")
 
 
 def _sketch(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
     from xxhash import xxh3_128_digest
 
     for batch in batches:
-        n, fps, regs, bands = [], [], [], []
+        n, fps, regs = [], [], []
         for text in batch.column("text").to_pylist():
             u = shingle_set(text, k)
-            r = registers(u)
             n.append(len(u))
             fps.append(xxh3_128_digest(u.tobytes()) if len(u) else None)
-            regs.append(r.astype(np.uint16).view(np.int16) if len(u) else None)
-            bands.append(band_keys(r))
+            regs.append(packed_registers(registers(u)) if len(u) else None)
         yield pa.RecordBatch.from_arrays(
-            [batch.column("id"), batch.column("tkey"), pa.array(n, pa.int64()), pa.array(fps, pa.binary()), pa.array(regs, pa.list_(pa.int16())), pa.array(bands, pa.list_(pa.int64()))],
-            names=["id", "tkey", "n", "fp", "regs", "bands"],
+            [batch.column("id"), batch.column("tkey"), pa.array(n, pa.int64()), pa.array(fps, pa.binary()), pa.array(regs, pa.list_(pa.int64()))],
+            names=["id", "tkey", "n", "fp", "regs"],
         )
 
 
 def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sets = [shingle_set(text, k).view(np.int64) for text in batch.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("fp"), pa.array(sets, pa.list_(pa.int64()))], names=["fp", "shingles"])
+        yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sets, pa.list_(pa.int64()))], names=["node", "shingles"])
+
+
+def _lanes(x: Column, y: Column, test) -> Column:
+    """Of the registers of two packed arrays, how many pass test(register of x, register of y)."""
+
+    def in_band(v: Column, w: Column) -> Column:
+        of = [(F.shiftrightunsigned(v, at).bitwiseAND(0xFFFF), F.shiftrightunsigned(w, at).bitwiseAND(0xFFFF)) for at in LANES]
+        return sum((test(p, q).cast("int") for p, q in of[1:]), test(*of[0]).cast("int"))
+
+    return F.aggregate(F.zip_with(x, y, in_band), F.lit(0), lambda s, m: s + m)
 
 
 def estimate(regs_a: Column, regs_b: Column, n_a: Column, n_b: Column) -> Column:
-    """Jaccard estimate of two register arrays, less the matches that chance alone brings."""
-    used = F.size(F.filter(F.zip_with(regs_a, regs_b, lambda x, y: (x != 0) | (y != 0)), lambda v: v))
-    same = F.size(F.filter(F.zip_with(regs_a, regs_b, lambda x, y: (x != 0) & (x == y)), lambda v: v))
+    """Jaccard estimate of two packed register arrays, less the matches that chance alone brings."""
+    used = _lanes(regs_a, regs_b, lambda x, y: (x != 0) | (y != 0))
+    same = _lanes(regs_a, regs_b, lambda x, y: (x != 0) & (x == y))
     ratio = F.greatest(n_a, n_b) / F.least(n_a, n_b)
     # expected chance matches of HyperMinHash: 0.1699 * 2^(p - r) * 4x / (1 + x)^2 for sizes in the ratio x
     chance = F.lit(0.169919487159739 * 2.0 ** (BUCKET_BITS - MANTISSA_BITS)) * 4 * ratio / ((1 + ratio) * (1 + ratio))
@@ -129,7 +148,7 @@ def estimate(regs_a: Column, regs_b: Column, n_a: Column, n_b: Column) -> Column
 
 def _likely(regs_a: Column, regs_b: Column, n_a: Column, n_b: Column, num: int, den: int) -> Column:
     """Whether the estimate is no more than SIGMAS standard deviations under the threshold."""
-    spread = F.sqrt(F.lit(num / den * (1 - num / den)) / F.greatest(F.lit(1), F.size(F.filter(regs_a, lambda x: x != 0))))
+    spread = F.sqrt(F.lit(num / den * (1 - num / den)) / F.greatest(F.lit(1), _lanes(regs_a, regs_a, lambda x, _: x != 0)))
     return estimate(regs_a, regs_b, n_a, n_b) >= num / den - SIGMAS * spread
 
 
@@ -166,7 +185,43 @@ def components(links: DataFrame) -> DataFrame:
     return named if named is not None else edges.select(F.col("src").alias("node"), F.col("dst").alias("label"))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+def _at_ends(pairs: DataFrame, side: DataFrame, value: str) -> DataFrame:
+    """pairs(x, p, salts, ...) with side's value of both; p may be in any number of pairs."""
+    copies = side.join(pairs.groupBy(F.col("p").alias("node")).agg(F.max("salts").alias("salts")), "node")
+    copies = copies.select(F.col("node").alias("p"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), F.col(value).alias(f"{value}_p"))
+    dealt = pairs.join(side.select(F.col("node").alias("x"), F.col(value).alias(f"{value}_x")), "x")
+    return dealt.withColumn("salt", F.pmod(F.xxhash64("x"), F.col("salts"))).join(copies, ["p", "salt"])
+
+
+def _distinct_pairs(pairs: DataFrame) -> DataFrame:
+    """Each of pairs(x, p, m, ...) once, with salts as m rows or so meet at p; of other columns the largest."""
+    rest = [c for c in pairs.columns if c not in ("x", "p", "m")]
+    return pairs.groupBy("x", "p").agg(F.ceil(F.max("m") / SALT_ROWS).cast("long").alias("salts"), *[F.max(c).alias(c) for c in rest])
+
+
+def _apart_around_pivots(seen: DataFrame, labels: DataFrame, num: int, den: int) -> DataFrame:
+    """Links (a, b) between nodes of different components that have been compared with the same pivot.
+
+    The shingles of a pivot that a node lacks, and those that it adds, say exactly what two such nodes
+    share, so that no pair of them leaves this join but a link.
+    """
+    around = seen.where("leads").join(labels, F.col("x") == F.col("node"), "left").select("p", "n_p", "x", F.coalesce("label", "x").alias("label"), "lacks", "adds")
+    sizes = around.groupBy("p", "label").agg(F.count("*").alias("m"))
+    mixed = sizes.groupBy("p").agg(F.count("*").alias("labels"), F.max(F.struct("m", "label")).getField("label").alias("main"), F.sum("m").alias("m")).where("labels > 1")
+    around = spill(around.join(mixed.select("p", "main", F.ceil(F.col("m") / SALT_ROWS).cast("long").alias("salts")), "p"), "around")
+    stray = around.where("label != main").select("p", *[F.col(c).alias(f"{c}_s") for c in ("x", "label", "lacks", "adds")], F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"))
+    n, n_s = (F.col("n_p") - F.size(f"lacks{e}") + F.size(f"adds{e}") for e in ("", "_s"))
+    similar = lambda both: both * (num + den) >= num * (n + n_s)
+    at_most = F.col("n_p") - F.greatest(F.size("lacks"), F.size("lacks_s")) + F.least(F.size("adds"), F.size("adds_s"))
+    both = F.col("n_p") - F.size("lacks") - F.size("lacks_s") + F.size(F.array_intersect("lacks", "lacks_s")) + F.size(F.array_intersect("adds", "adds_s"))
+    pairs = around.withColumn("salt", F.pmod(F.xxhash64("x"), F.col("salts"))).join(stray, ["p", "salt"])
+    pairs = pairs.where((F.col("label") != F.col("label_s")) & ((F.col("label") == F.col("main")) | (F.col("x") < F.col("x_s"))) & similar(at_most)).where(similar(both))
+    links = spill(pairs.select(F.col("x").alias("a"), F.col("x_s").alias("b")).distinct(), "links")
+    release(around)
+    return links
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 80, den: int = 100, exact: bool = False) -> DataFrame:
     """One row per input row: id, tkey (names the row's text), n_shingles, component_id, kept, component.
 
     Sets link when den * |intersection| >= num * |union|.
@@ -175,79 +230,97 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     small_batches(spark)
     rows = docs.select(F.col(id_col).alias("id"), text_key(F.col(text_col)).alias("tkey"), utf8(F.col(text_col)).alias("text"))
     id_type = rows.schema["id"].dataType.simpleString()
-    sketches = spill(rows.mapInArrow(functools.partial(_sketch, k=k), f"id {id_type}, tkey long, n long, fp binary, regs array<smallint>, bands array<long>"), "sketch")
-
-    named = sketches.where("id is not null and fp is not null")
-    nodes = spill(
-        named.groupBy("fp").agg(F.min(F.struct("id", "tkey")).alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("regs").alias("regs"), F.first("bands").alias("bands")),
-        "nodes",
-    )
-    buckets = nodes.select("fp", F.explode(F.filter("bands", lambda b: b != 0)).alias("band"))
-    crowded = buckets.groupBy("band").agg(F.count("*").alias("m")).where("m > 1").select("band")
-    members = spill(buckets.join(crowded, "band"), "members")
-    suspects = members.select("fp").distinct()
+    sketches = spill(rows.mapInArrow(functools.partial(_sketch, k=k), f"id {id_type}, tkey long, n long, fp binary, regs array<long>"), "sketch")
+
+    # a node for each set, with the row that stands for it
+    equal = sketches.where("id is not null and fp is not null").groupBy("fp", "id", "tkey").agg(F.count("*").alias("times"), F.max("n").alias("n"))
+    nodes = equal.groupBy("fp").agg(F.min(F.struct("id", "tkey", "times")).alias("rep"), F.sum("times").alias("copies"), F.max("n").alias("n"))
+    nodes = spill(nodes.select(F.monotonically_increasing_id().alias("node"), "fp", F.xxhash64("fp").alias("tie"), "rep.*", "copies", "n"), "nodes")
+    repeated = not nodes.where("times > 1").isEmpty()
+
+    def standing(of: DataFrame, which: DataFrame, n_which: float) -> DataFrame:
+        """The rows that stand for the nodes of which; of equal rows one."""
+        which = which.select("node", "id", "tkey", "times")
+        out = join_by_size(of, which.where("times = 1") if repeated else which, ["id", "tkey"], n_which)
+        if repeated:
+            out = out.union(join_by_size(of, which.where("times > 1"), ["id", "tkey"], n_which).dropDuplicates(["node"]))
+        return out.drop("id", "tkey", "times")
+
+    if exact:
+        reps = nodes
+    else:
+        bands = standing(sketches.select("id", "tkey", "regs"), nodes, math.inf).select("node", F.posexplode("regs").alias("at", "band"))
+        buckets = bands.where("band != 0").select("node", F.xxhash64("at", "band").alias("band"))
+        crowded = buckets.groupBy("band").agg(F.count("*").alias("m")).where("m > 1").select("band")
+        members = spill(buckets.join(crowded, "band"), "members")
+        reps = spill(nodes.join(members.select("node").distinct(), "node", "left_semi"), "reps")
 
     # full sets of the nodes that share a bucket, and of their shingles those that nothing else has
-    reps = spill(nodes.join(suspects, "fp", "left_semi").select("fp", F.col("rep.id").alias("id"), F.col("rep.tkey").alias("tkey")), "reps")
-    n_reps = reps.count()
-    texts = semi_by_size(rows, reps.select("id", "tkey"), ["id", "tkey"], n_reps)
-    texts = texts.join(F.broadcast(reps) if n_reps <= 500_000 else reps, ["id", "tkey"]).select("fp", "text")
-    sets = spill(texts.mapInArrow(functools.partial(_sets, k=k), "fp binary, shingles array<long>").dropDuplicates(["fp"]), "sets")
-    alone = sets.select("fp", F.explode("shingles").alias("s")).groupBy("s").agg(F.count("*").alias("df"), F.min("fp").alias("fp")).where("df = 1").groupBy("fp").agg(F.count("*").alias("u"))
-    bounded = nodes.join(suspects, "fp", "left_semi").join(alone, "fp", "left").select("fp", "n", (F.col("n") - F.coalesce("u", F.lit(0))).alias("c"), "regs", "bands")
+    sets = spill(standing(rows, reps, reps.count()).mapInArrow(functools.partial(_sets, k=k), "node long, shingles array<long>"), "sets")
+    shingles = sets.select("node", F.explode("shingles").alias("s"))
+    alone = shingles.groupBy("s").agg(F.count("*").alias("df"), F.min("node").alias("node")).where("df = 1").groupBy("node").agg(F.count("*").alias("u"))
+    bounded = reps.select("node", "tie", "n").join(alone, "node", "left").select("node", "tie", "n", (F.col("n") - F.coalesce("u", F.lit(0))).alias("c"))
     bounded = spill(bounded.where(F.col("c") * den >= num * F.col("n")), "bounded")
-
-    live = spill(members.join(bounded.select("fp", "n", "c"), "fp"), "live")
-
-    def estimated(pairs: DataFrame) -> DataFrame:
-        """Of distinct pairs (a, b) those that the estimate doesn't rule out."""
-        side = bounded.select("fp", "n", "regs")
-        p = pairs.join(side.select(F.col("fp").alias("a"), F.col("n").alias("n_a"), F.col("regs").alias("regs_a")), "a")
-        p = p.join(side.select(F.col("fp").alias("b"), F.col("n").alias("n_b"), F.col("regs").alias("regs_b")), "b")
-        return p.where(_likely(F.col("regs_a"), F.col("regs_b"), F.col("n_a"), F.col("n_b"), num, den)).select("a", "b")
+    n_bounded = bounded.count()
+    if exact:
+        common = shingles.groupBy("s").agg(F.count("*").alias("df")).where("df > 1")
+        order = F.row_number().over(Window.partitionBy("node").orderBy("df", "s"))
+        prefix = F.col("c") - F.ceil(F.col("n") * num / den) + 1  # the shingles that nothing else has come before these
+        ranked = shingles.join(common, "s").withColumn("nth", order).join(bounded, "node").where(F.col("nth") <= prefix)
+        members = spill(ranked.select("node", F.col("s").alias("band")), "members")
+    else:
+        release(reps)
+    kept_sets = spill(join_by_size(sets, bounded.select("node"), ["node"], n_bounded, "left_semi"), "sets")
+    release(sets)
+    sets = kept_sets
+    live = spill(join_by_size(members, bounded, ["node"], n_bounded), "live")
+    release(members)
+    regs = spill(standing(sketches.select("id", "tkey", "regs"), nodes.join(bounded.select("node"), "node", "left_semi"), n_bounded).join(bounded, "node"), "regs")
 
     def compared(pairs: DataFrame) -> DataFrame:
-        """Pairs with both, the size of the common set, and whether that links them."""
-        p = pairs.join(sets.select(F.col("fp").alias("b"), F.col("shingles").alias("s_b")), "b")
-        p = p.join(sets.select(F.col("fp").alias("a"), F.col("shingles").alias("s_a")), "a")
-        p = p.withColumn("both", F.size(F.array_intersect("s_a", "s_b")))
-        return p.select("a", "b", "both", (den * F.col("both") >= num * (F.size("s_a") + F.size("s_b") - F.col("both"))).alias("linked"))
+        """Of distinct pairs(x, p) those that the estimate doesn't rule out: whether they link, and how x differs from p."""
+        if not exact:
+            p = _at_ends(pairs, regs.select("node", F.struct("n", "regs").alias("r")), "r")
+            pairs = p.where(_likely(F.col("r_x.regs"), F.col("r_p.regs"), F.col("r_x.n"), F.col("r_p.n"), num, den)).select(pairs.columns)
+        p = _at_ends(pairs, sets, "shingles").withColumn("adds", F.array_except("shingles_x", "shingles_p")).withColumn("lacks", F.array_except("shingles_p", "shingles_x"))
+        both = F.size("shingles_x") - F.size("adds")
+        linked = den * both >= num * (F.size("shingles_p") + F.size("adds"))
+        return p.select(*[c for c in pairs.columns if c != "salts"], F.size("shingles_p").alias("n_p"), "lacks", "adds", linked.alias("linked"))
 
     # first: everyone with two of its bucket, the one with most shared shingles and one drawn by hash
     pivots = live.groupBy("band").agg(
-        F.max(F.struct((F.col("c") / F.col("n")).alias("share"), "n", "c", "fp")).alias("p"), F.max(F.struct(F.xxhash64("fp", "band").alias("draw"), "n", "c", "fp")).alias("q"), F.count("*").alias("m")
-    ).where("m > 1")
-    near = live.join(pivots.select("band", "p", "q"), "band")
-    star = [near.select("fp", "n", "c", *[F.col(f"{v}.{x}").alias(f"{x}_p") for x in ("fp", "n", "c")]) for v in ("p", "q")]
-    star = star[0].union(star[1]).where("fp != fp_p").where(_reachable(F.col("n"), F.col("c"), F.col("n_p"), F.col("c_p"), num, den))
-    star = spill(star.select(F.least("fp", "fp_p").alias("a"), F.greatest("fp", "fp_p").alias("b")).distinct(), "star")
-    seen = spill(compared(estimated(star)), "seen")
-    links = seen.where("linked").select("a", "b")
-    first = components(links)
-
-    # then: who shares a bucket, may be similar, and is still apart; a bucket's largest component needs no pairs of its own
-    placed = live.join(first.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
+        F.max(F.struct((F.col("c") / F.col("n")).alias("share"), "n", "c", "tie", "node")).alias("p"), F.max(F.struct(F.xxhash64("tie", "band").alias("draw"), "n", "c", "node")).alias("q"), F.count("*").alias("m")
+    )
+    pivots = spill(pivots.where("m > 1"), "pivots")
+    near = live.join(pivots, "band")
+    star = [near.select(F.col("node").alias("x"), "n", "c", "m", F.col(f"{v}.node").alias("p"), F.col(f"{v}.n").alias("n_p"), F.col(f"{v}.c").alias("c_p"), F.lit(v == "p").alias("leads")) for v in ("p", "q")]
+    star = star[0].union(star[1]).where("x != p").where(_reachable(F.col("n"), F.col("c"), F.col("n_p"), F.col("c_p"), num, den))
+    star = spill(_distinct_pairs(star.select("x", "p", "m", "leads")), "star")
+    seen = spill(compared(star), "seen")
+    release(star)
+    first = components(seen.where("linked").select(F.col("x").alias("a"), F.col("p").alias("b")))
+
+    # then, of who shares a bucket and is still apart: those that were compared with its pivot
+    around = _apart_around_pivots(seen, first, num, den)
+    # and the others; a bucket's largest component needs no pairs of its own
+    placed = live.join(first, "node", "left").withColumn("label", F.coalesce("label", "node"))
     sizes = placed.groupBy("band", "label").agg(F.count("*").alias("m"), F.min("n").alias("low_n"))
-    mixed = sizes.groupBy("band").agg(F.count("*").alias("labels"), F.max(F.struct("m", "label")).getField("label").alias("main"), F.min("low_n").alias("low_n")).where("labels > 1")
-    placed = placed.join(mixed, "band").join(pivots.select("band", F.col("p.fp").alias("p")), "band")
-    placed = placed.withColumn("a", F.least("fp", "p")).withColumn("b", F.greatest("fp", "p")).join(seen.select("a", "b", "both"), ["a", "b"], "left")
-    placed = placed.withColumn("of_p", F.when(F.col("fp") == F.col("p"), F.col("n")).otherwise(F.col("both")))
-    placed = spill(placed.join(bounded.select("fp", "regs", "bands"), "fp").select("band", "fp", "n", "c", "label", "main", "low_n", "of_p", "regs", "bands"), "placed")
+    mixed = sizes.groupBy("band").agg(F.count("*").alias("labels"), F.max(F.struct("m", "label")).getField("label").alias("main"), F.sum("m").alias("m"), F.min("low_n").alias("low_n")).where("labels > 1")
+    placed = placed.join(mixed.drop("labels"), "band").join(pivots.select("band", F.col("p.node").alias("p")), "band").where("node != p")
+    placed = placed.join(seen.where("leads").select(F.col("x").alias("node"), "p", F.lit(True).alias("known")), ["node", "p"], "left")
+    placed = spill(placed.select("band", "node", "n", "c", "label", "main", "m", "low_n", F.col("known").isNotNull().alias("known")), "placed")
+    release(live, pivots, seen)
     # a straggler whose shared shingles cannot carry even the bucket's shortest partner has none
     stray = placed.where("label != main").where(F.col("c") * (num + den) >= num * (F.col("n") + F.col("low_n")))
-    stray = stray.select("band", *[F.col(c).alias(f"{c}_x") for c in ("fp", "n", "c", "label", "of_p", "regs", "bands")])
-    # a pair that shares several buckets is compared in the first of them
-    shared = F.zip_with("bands", "bands_x", lambda x, y: (x != 0) & (x == y))
-    first_shared = F.array_position(shared, True) - 1 == F.col("band").bitwiseAND(BANDS - 1)
-    # what two sets share lies inside the pivot, or outside it among what each shares with anything
-    common = F.least("of_p", "of_p_x") + F.least(F.col("c") - F.col("of_p"), F.col("c_x") - F.col("of_p_x"))
-    through_pivot = F.when(F.col("of_p").isNull() | F.col("of_p_x").isNull(), F.lit(True)).otherwise(common * (num + den) >= num * (F.col("n") + F.col("n_x")))
+    stray = stray.select("band", *[F.col(c).alias(f"{c}_p") for c in ("node", "n", "c", "label", "known")])
     apart = placed.join(stray, "band").where(
-        (F.col("label") != F.col("label_x")) & ((F.col("label") == F.col("main")) | (F.col("fp") < F.col("fp_x"))) & _reachable(F.col("n"), F.col("c"), F.col("n_x"), F.col("c_x"), num, den)
-        & through_pivot & first_shared & _likely(F.col("regs"), F.col("regs_x"), F.col("n"), F.col("n_x"), num, den)
+        (F.col("label") != F.col("label_p")) & ((F.col("label") == F.col("main")) | (F.col("node") < F.col("node_p")))
+        & ~(F.col("known") & F.col("known_p")) & _reachable(F.col("n"), F.col("c"), F.col("n_p"), F.col("c_p"), num, den)
     )
-    apart = apart.select(F.least("fp", "fp_x").alias("a"), F.greatest("fp", "fp_x").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
-    more = spill(compared(apart).where("linked").select("a", "b"), "links")
+    apart = spill(_distinct_pairs(apart.select(F.col("node").alias("x"), F.col("node_p").alias("p"), "m")), "apart")
+    release(placed)
+    more = spill(around.union(compared(apart).where("linked").select(F.col("x").alias("a"), F.col("p").alias("b"))), "more")
+    release(sets, regs, apart, around)
     if more.isEmpty():
         final = first
     else:  # the new links are between labels, or nodes that had none
@@ -258,30 +331,31 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         final = named.unionByName(joined.join(first.select("node"), "node", "left_anti"))
 
     # a component's id is the smallest id of all its documents
-    names = nodes.select("fp", F.col("rep.id").alias("low"), "copies").join(final.withColumnRenamed("node", "fp"), "fp", "left")
+    names = nodes.select("node", "fp", F.col("id").alias("low"), "copies").join(final, "node", "left")
     linked = names.where("label is not null")
     lowest = linked.groupBy("label").agg(F.min("low").alias("component_id"))
-    grouped = linked.join(lowest, "label").select("fp", "component_id", "label").union(names.where("label is null and copies > 1").select("fp", F.col("low").alias("component_id"), F.col("fp").alias("label")))
-    out = sketches.select("id", "tkey", "n", "fp").join(grouped, "fp", "left")
+    grouped = linked.join(lowest, "label").select("fp", "component_id", "label").union(names.where("label is null and copies > 1").select("fp", F.col("low").alias("component_id"), F.col("node").alias("label")))
+    grouped = spill(grouped, "grouped")
+    out = sketches.select("id", "tkey", "n", "fp").join(F.broadcast(grouped) if grouped.count() <= BROADCAST_ROWS else grouped, "fp", "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id"))
     kept = F.coalesce(F.col("id") == component, F.lit(True))
-    return out.select("id", "tkey", F.col("n").alias("n_shingles"), component.alias("component_id"), kept.alias("kept"), F.coalesce("label", "fp").alias("component"))
+    return out.select("id", "tkey", F.col("n").alias("n_shingles"), component.alias("component_id"), kept.alias("kept"), F.col("label").alias("component"))
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 80, den: int = 100, exact: bool = False) -> DataFrame:
     """docs without all but one document of each group, all columns as they were.
 
     Rows that are equal in id and text count as copies too: one of them stays.
     """
-    found = spill(near_duplicates(docs, id_col, text_col, k, num, den).where("id is not null"), "kept")
-    keyed = docs.withColumn("__id", F.col(id_col)).withColumn("__tkey", text_key(F.col(text_col)))
-    gone = found.where(~F.col("kept")).select(F.col("id").alias("__id"), F.col("tkey").alias("__tkey")).distinct()
-    left = keyed.join(gone, ["__id", "__tkey"], "left_anti")
+    found = spill(near_duplicates(docs, id_col, text_col, k, num, den, exact).where("id is not null"), "kept")
+    keyed = packed(docs, id=F.col(id_col), tkey=text_key(F.col(text_col)))
+    gone = found.where(~F.col("kept")).select("id", "tkey").distinct()
+    left = keyed.join(gone, ["id", "tkey"], "left_anti")
     # where rows of one component repeat the kept id, the one of the smallest text key stays
     crowded = found.where("kept").groupBy("component").agg(F.count("*").alias("m"), F.min("tkey").alias("low")).where("component is not null and m > 1")
-    again = found.where("kept").join(crowded, "component").select(F.col("id").alias("__id"), F.col("tkey").alias("__tkey"), (F.col("tkey") == F.col("low")).alias("__stays")).distinct()
+    again = found.where("kept").join(crowded, "component").select("id", "tkey", (F.col("tkey") == F.col("low")).alias("stays")).distinct()
     again = spill(again, "again")
     if not again.isEmpty():
-        marked = left.join(again, ["__id", "__tkey"], "left")
-        left = marked.where("__stays is null").unionByName(marked.where("__stays").dropDuplicates(["__id", "__tkey"]))
-    return left.select(*[F.col(c) for c in docs.columns])
+        marked = left.join(again, ["id", "tkey"], "left")
+        left = marked.where("stays is null").unionByName(marked.where("stays").dropDuplicates(["id", "tkey"]))
+    return unpacked(left)

@@ -51,10 +51,10 @@ def corpus(seed):
     return [*rows, (n, None), (n + 1, " \t\n"), (n + 2, ""), (n + 3, "One"), (n + 4, "one")]
 
 
-@pytest.mark.parametrize(("k", "num"), [(3, 85), (5, 80)])
-def test_equals_brute_force(spark, k, num):
+@pytest.mark.parametrize(("k", "num", "exact"), [(3, 85, False), (5, 80, False), (3, 85, True), (2, 50, True)])
+def test_equals_brute_force(spark, k, num, exact):
     rows = corpus(k)
-    got = {r.id: (r.n_shingles, r.component_id, r.kept) for r in nd.near_duplicates(frame(spark, rows), k=k, num=num).collect()}
+    got = {r.id: (r.n_shingles, r.component_id, r.kept) for r in nd.near_duplicates(frame(spark, rows), k=k, num=num, exact=exact).collect()}
     assert got == brute(rows, k, num, 100)
 
 
@@ -75,6 +75,24 @@ def test_empty_null_ids_and_repeated_rows(spark):
     assert sorted((r.doc_id or 0, r.text) for r in got.collect()) == [(0, text), (1, text), (1, other)]
 
 
+def test_columns_of_any_name_stay_as_they_were(spark):
+    text = "a b c d e f g h"
+    docs = spark.createDataFrame([(1, text, 10, 20, 30, 40), (2, text, 11, 21, 31, 41), (3, None, 12, 22, 32, 42)], "doc_id long, text string, `a.b` int, __tkey int, row int, id int")
+    assert sorted(map(tuple, nd.drop_near_duplicates(docs).collect())) == [(1, text, 10, 20, 30, 40), (3, None, 12, 22, 32, 42)]
+
+
+def test_tables_go_when_nothing_needs_them(spark, tmp_path):
+    import os
+
+    from skein.llm.common import shared_dir
+
+    at = shared_dir(spark).removeprefix("file://")
+    had = set(os.listdir(at)) if os.path.isdir(at) else set()
+    nd.near_duplicates(frame(spark, corpus(1))).collect()
+    left = {name.split("-")[1] for name in set(os.listdir(at)) - had}
+    assert left.isdisjoint({"sets", "members", "live", "placed", "star", "seen", "regs", "apart"})
+
+
 def test_registers_hold_the_smallest_hash():
     import numpy as np
 
