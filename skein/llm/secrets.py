@@ -1,13 +1,17 @@
 """Secret scans: fixed forms, and strings that look random to character Markov models.
 
-Two models of characters given the two before them are trained from labelled samples: ordinary
-identifiers are the long words of the corpus that no form matches, with the joins that code uses; random
-strings are the values that the forms match, and draws from the alphabets that keys are written in.  A
-candidate is a run of 16 or more characters of A-Za-z0-9+/_=- that no fixed form covers.  Its mean
-log-likelihood ratio a character decides, with the class of its characters: it must mix letters and digits.
-
-The training sample is at most sample_rows documents chosen by hash (a documented bound; the models have
-a few thousand parameters).  Every text is scanned whole.
+Two models of characters given the two before them are trained from labelled samples.  Ordinary: every
+distinct name of the corpus, that is a run of letters, maybe with up to four digits after it, alone or
+joined by - _ or /, that no fixed form covers; each counts once, with the other ways that code writes it
+(upper case, title case, joined to itself, numbered).  Random: every distinct value that the forms match,
+and draws from the alphabets that keys are written in.  All documents are read for both, and what leaves
+the executors are the counts of the alphabet's character triples, at most 2 * 67^3 numbers at any size.
+
+A candidate is a run of LEAST_RUN or more characters of A-Za-z0-9+/_=- that no fixed form overlaps.  Its
+mean log-likelihood ratio a character decides; where that of the whole run falls short, each stretch of
+LEAST_RUN letters and digits between its joints is judged alone.  Without a digit the ratio has to be
+higher.  Out of scope are shorter runs, whose ratio says little, and runs without a letter, which are
+numbers.
 
 Fixed forms, each found leftmost and without overlap within its kind:
   assign  a keyword, =, : and quotes, then a value of 6 or more characters (the span is the whole match)
@@ -15,9 +19,12 @@ Fixed forms, each found leftmost and without overlap within its kind:
   hex     24 or more of 0-9a-f
   markov  what the models add
 
+Work grows with a text's length: candidates and fixed forms are merged in order.
+
 Edge cases: null and empty texts have no spans; a corpus without usable words leaves the random draws
-against a uniform model, which still has an answer; rows that repeat each get their row; other columns
-are not read.  Positions count code points, ends are exclusive.
+against a uniform model, which still has an answer; rows that repeat each get their row, and their strings
+count once in training; spans that start together are ordered by kind; other columns are not read, and may
+have any names.  Positions count code points, ends are exclusive.
 """
 
 from __future__ import annotations
@@ -40,13 +47,18 @@ KINDS = ("assign", "access", "hex", "markov")
 ASSIGN = re.compile(r"(?ai:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 LEAST_ASSIGN, LEAST_ACCESS = 6, 20
 
+LEAST_RUN = 16
+CANDIDATE = re.compile(rf"[A-Za-z0-9+/_=-]{{{LEAST_RUN},}}")
+STRETCH = re.compile(rf"[A-Za-z0-9]{{{LEAST_RUN},}}")
+NAME = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z]{3,}[0-9]{0,4}(?:[_/-][A-Za-z]{3,}[0-9]{0,4})*(?![A-Za-z0-9+/_=-])")
+
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
-SAMPLE_ROWS = 20_000
-#: Nats a character by which random must be likelier.
-LEAST_RATIO = 0.5
+#: Nats a character by which random must be likelier, in runs with and without a digit.
+LEAST_RATIO, LEAST_RATIO_LETTERS = 0.5, 1.0
+#: Distinct strings that a training task holds before it sends them on.
+HELD_STRINGS = 200_000
 _N = len(ALPHABET) + 1
 _CODE = np.full(256, len(ALPHABET), np.int64)
 _CODE[np.frombuffer(ALPHABET.encode(), np.uint8)] = np.arange(len(ALPHABET))
@@ -62,6 +74,17 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
+def _free(pattern: re.Pattern, text: str, taken: list[tuple[int, int, int]]) -> Iterator[re.Match]:
+    """Matches of the pattern that overlap none of the taken spans, which are in order of their starts."""
+    i, reached = 0, 0  # reached: the furthest end of the spans that start before the match's end
+    for m in pattern.finditer(text):
+        while i < len(taken) and taken[i][0] < m.end():
+            reached = max(reached, taken[i][2])
+            i += 1
+        if reached <= m.start():
+            yield m
+
+
 @dataclass(frozen=True)
 class SecretModel:
     """Log likelihood ratios of a character after two others, random over ordinary, row by row."""
@@ -73,16 +96,18 @@ class SecretModel:
         return float(self.ratios[c[:-2], c[1:-1], c[2:]].mean())
 
 
-def _counts(strings: list[str]) -> np.ndarray:
-    out = np.zeros((_N, _N, _N))
-    for s in strings:
-        c = _CODE[np.frombuffer(s.encode("ascii", "replace"), np.uint8)]
-        np.add.at(out, (c[:-2], c[1:-1], c[2:]), 1)
-    return out
+def _count(into: np.ndarray, strings: list[str]) -> np.ndarray:
+    """Adds the strings' triples of characters to the flat counts."""
+    codes = _CODE[np.frombuffer("\0".join(strings).encode("ascii", "replace"), np.uint8)]  # \0 is no character of the alphabet
+    a, b, c = codes[:-2], codes[1:-1], codes[2:]
+    inside = (a < _N - 1) & (b < _N - 1) & (c < _N - 1)
+    into += np.bincount(((a * _N + b) * _N + c)[inside], minlength=_N**3)
+    return into
 
 
 def _logs(counts: np.ndarray) -> np.ndarray:
     """Log probabilities; a context falls back on the shorter one as far as it has not been seen."""
+    counts = counts.reshape(_N, _N, _N).astype(float)
     one = counts.sum(axis=(0, 1)) + 0.5
     one /= one.sum()
     two = counts.sum(axis=0) + 8 * one
@@ -102,39 +127,81 @@ def random_strings(n: int) -> list[str]:
     return out
 
 
-def fit(values: list[str], words: list[str]) -> SecretModel:
-    """values: matched by the fixed forms; words: ordinary."""
-    joined = words + [f"{a}_{b}" for a, b in zip(words[::2], words[1::2], strict=False)] + [f"{a}-{b}" for a, b in zip(words[::3], words[2::3], strict=False)]
-    joined += [a.title() + b.title() for a, b in zip(words[1::2], words[::2], strict=False)] + [a.upper() for a in words[::5]]
-    # numbers occur in ordinary names, seldom and in runs
-    joined += [f"{w}{i % 100}" for i, w in enumerate(words[::4])] + [f"{w}_20{i % 90 + 10}" for i, w in enumerate(words[::7])]
-    return SecretModel(_logs(_counts(values + random_strings(4000))) - _logs(_counts(joined)))
+def spellings(name: str) -> list[str]:
+    """A name, and other ways that code writes it."""
+    title = name.title()
+    return [name, name.upper(), title + title, f"{name}_{name}", f"{name}-{name}", f"{name}{len(name) % 10}", f"{name}_20{len(name) % 90 + 10}"]
+
+
+def fit(random: np.ndarray, ordinary: np.ndarray) -> SecretModel:
+    """From the counts of triples in random strings and in ordinary names."""
+    return SecretModel(_logs(_count(random.copy(), random_strings(4000))) - _logs(ordinary))
 
 
-def train(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", sample_rows: int = SAMPLE_ROWS) -> SecretModel:
-    ids = docs.select(F.col(id_col).alias("id")).where("id is not null")
-    # by hash, with a bound on what passes: the rate comes from the count
-    n = ids.count()
-    share = min(1.0, sample_rows / max(1, n))
-    sample = docs.where(F.pmod(F.xxhash64(F.lit("secrets"), F.col(id_col)), F.lit(1 << 20)) < int(share * (1 << 20))).select(F.col(text_col).alias("t"))
-    words = sample.select(F.explode(F.array_distinct(F.regexp_extract_all("t", F.lit(r"(?<![A-Za-z0-9+/_=-])[A-Za-z]{5,}(?![A-Za-z0-9+/_=-])"), F.lit(0)))).alias("w"))
-    common = words.groupBy("w").agg(F.count("*").alias("m")).orderBy(F.desc("m"), "w").limit(20_000)
-    forms = sample.select(F.explode(F.regexp_extract_all("t", F.lit(r"[0-9a-f]{24,}|AKIA[A-Z0-9]{16,}|(?<=[:=]\x20?[\"']?)[A-Za-z0-9+/_=-]{24,}"), F.lit(0))).alias("v"))
-    values = [r.v for r in forms.where(F.length("v") <= 200).orderBy(F.xxhash64("v"), "v").limit(4000).collect()]
-    return fit(sorted(values), sorted(r.w for r in common.collect()))
+def _samples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(random, s): names and values of the forms, each once while they are held."""
+    schema = pa.schema([("random", pa.bool_()), ("s", pa.string())])
+    held: set[tuple[bool, str]] = set()
 
+    def sent() -> pa.RecordBatch:
+        rows = sorted(held)
+        held.clear()
+        return pa.RecordBatch.from_pydict({"random": [r for r, _ in rows], "s": [s for _, s in rows]}, schema=schema)
 
-def spans_of(text: str | None, model: SecretModel, least: float = LEAST_RATIO) -> list[tuple[int, int, int]]:
+    for batch in batches:
+        for text in batch.column("text").to_pylist():
+            if not text:
+                continue
+            taken = base_spans(text)
+            held.update((True, v) for a, k, z in taken for v in ([ASSIGN.match(text, a)[1]] if k == 0 else [text[a:z]]) if len(v) >= LEAST_RUN)
+            held.update((False, m[0]) for m in (_free(NAME, text, taken) if taken else NAME.finditer(text)))
+            if len(held) >= HELD_STRINGS:
+                yield sent()
+    yield sent()
+
+
+def _triples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(random, triple, m) of distinct strings; at most one row a triple and label."""
+    counts = {label: np.zeros(_N**3, np.int64) for label in (False, True)}
+    for batch in batches:
+        for label, s in zip(batch.column("random").to_pylist(), batch.column("s").to_pylist(), strict=True):
+            # letters alone are no random value: passwords in prose
+            if not label:
+                _count(counts[label], spellings(s))
+            elif _HAS_DIGIT.search(s):
+                _count(counts[label], [s])
+    for label, c in counts.items():
+        at = np.flatnonzero(c)
+        yield pa.RecordBatch.from_pydict({"random": [label] * len(at), "triple": at, "m": c[at]}, schema=pa.schema([("random", pa.bool_()), ("triple", pa.int64()), ("m", pa.int64())]))
+
+
+def train(docs: DataFrame, text_col: str = "text") -> SecretModel:
+    """Both models, from all of docs."""
+    small_batches(docs.sparkSession)
+    samples = docs.select(F.col(text_col).alias("text")).mapInArrow(_samples, "random boolean, s string").distinct()
+    triples = samples.mapInArrow(_triples, "random boolean, triple long, m long").groupBy("random", "triple").agg(F.sum("m").alias("m"))
+    counts = {label: np.zeros(_N**3, np.int64) for label in (False, True)}
+    for r in triples.collect():  # at most 2 * _N^3
+        counts[r.random][r.triple] = r.m
+    return fit(counts[True], counts[False])
+
+
+def spans_of(text: str | None, model: SecretModel, least: float = LEAST_RATIO, least_letters: float = LEAST_RATIO_LETTERS) -> list[tuple[int, int, int]]:
     """(start, kind's number, end) of all secrets of a text."""
     if not text:
         return []
     out = base_spans(text)
-    taken = list(out)
-    for m in CANDIDATE.finditer(text):
-        s = m[0]
-        if _HAS_DIGIT.search(s) and _HAS_LETTER.search(s) and not any(a < m.end() and m.start() < z for a, _, z in taken) and model.ratio(s) >= least:
-            out.append((m.start(), 3, m.end()))
-    return sorted(out)
+    more = []
+
+    def random(s: str) -> bool:
+        return bool(_HAS_LETTER.search(s)) and model.ratio(s) >= (least if _HAS_DIGIT.search(s) else least_letters)
+
+    for m in _free(CANDIDATE, text, out):
+        if random(m[0]):
+            more.append((m.start(), 3, m.end()))
+        elif not m[0].isalnum():
+            more += [(m.start() + p.start(), 3, m.start() + p.end()) for p in STRETCH.finditer(m[0]) if random(p[0])]
+    return sorted(out + more)
 
 
 def _digest(spans: list[tuple[int, int, int]]) -> str:

@@ -66,6 +66,43 @@ def test_added_spans_leave_the_base(model):
     assert [text[a:z] for a, k, z in got if k == 3][:1] == [key]
 
 
+def test_overlaps_equal_brute_force():
+    rnd = random.Random(2)
+    for _ in range(2000):
+        text = "".join(rnd.choices(["a" * 16, "B1" * 9, " ", "-", "token=", "é"], k=rnd.randint(1, 12)))
+        taken = sorted((a, 0, a + rnd.randint(1, 30)) for a in rnd.sample(range(len(text) + 1), min(len(text), 4)))
+        want = [m.span() for m in sc.CANDIDATE.finditer(text) if not any(a < m.end() and m.start() < z for a, _, z in taken)]
+        assert [m.span() for m in sc._free(sc.CANDIDATE, text, taken)] == want
+
+
+def test_many_spans_in_one_text_take_linear_time(model):
+    import time
+
+    key = hashlib.sha256(b"x").hexdigest().upper()[:30] + "zQ9x"
+    text = f"token = abcdefghij {key} " * 50_000
+    began = time.monotonic()
+    got = sc.spans_of(text, model)
+    assert len(got) == 100_000 and time.monotonic() - began < 20
+
+
+def test_runs_without_digits_and_stretches_of_runs(model):
+    rnd = random.Random(5)
+    letters = "".join(rnd.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", k=32))
+    key = "".join(rnd.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", k=32))
+    path = "the/people/and/their/country/under/government/" + key
+    text = f"{letters} {path} 1234567890123456 internationalization_of_the_government"
+    got = [text[a:z] for a, k, z in sc.spans_of(text, model) if k == 3]
+    assert letters in got and any(s.endswith(key) for s in got) and len(got) == 2
+
+
+def test_training_reads_everything_once(spark):
+    docs = spark.createDataFrame([(i, f"plain words here token={'Ab1' * 9}") for i in range(50)], "doc_id long, text string")
+    one = sc.train(docs.limit(1))
+    assert (sc.train(docs).ratios == one.ratios).all()  # distinct strings count once
+    more = docs.union(spark.createDataFrame([(None, "another zebra")], docs.schema))
+    assert (sc.train(more.repartition(7)).ratios == sc.train(more.coalesce(1)).ratios).all() and (sc.train(more).ratios != one.ratios).any()
+
+
 def test_frame_edge_cases_and_query(spark, model, sf):
     docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(TEXTS)] + [(0, TEXTS[0], "x"), (None, "w " * 200_000, None)], "doc_id long, text string, spans string")
     got = sc.span_digests(sc.find_secrets(docs, model)).collect()
