@@ -11,18 +11,23 @@ nearby, make it a quotation; further hits and second-person words nearby make it
 sums of both, with exact and fuzzy hits apart, go into a logistic regression.
 
 Trained from labelled rows, on a sample of at most sample_rows of them chosen by hash (a documented bound):
-the terms that mark toxic documents join a seed lexicon, and the regression is fitted to the features.
-The driver gets terms and feature rows of that sample, never texts.  A term's weight is its log odds.
+the terms that mark toxic documents join a seed lexicon, and the regression is fitted to the features.  A
+term marks if it is in least_positive toxic documents or more and its log odds are least_odds or more; of
+such terms the max_terms with the most evidence (toxic documents times log odds) are learned, which bounds
+the automaton.  The driver gets terms and feature rows of that sample, never texts.
 
 Edge cases: null and empty texts get the score of a document without hits; without labels of both
 classes the prior weights hold; documents that repeat get equal scores; labels of one document that
-disagree count as the largest; labels without a document are not used; other columns are not read.
+disagree count as the largest, and of texts that repeat its id one is learned from; labels without a
+document are not used; terms with equal evidence are taken in alphabetical order; work grows with a text's
+length, however many hits and quotations it has; other columns are not read, and may have any names.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
@@ -33,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skein.llm.common import small_batches, spill
+from skein.llm.common import packed, small_batches, spill, text_key, unpacked
 
 #: Insults that any model starts from.
 SEED_TERMS = ("idiot", "stupid", "moron", "loser", "scum", "trash", "pathetic", "worthless", "disgusting", "clown", "imbecile", "dumbass", "bastard", "asshole", "bitch", "retard", "whore", "scumbag")
@@ -44,9 +49,8 @@ QUOTES = {'"': '"', "“": "”", "«": "»", "„": "“"}
 
 WINDOW = 8
 SAMPLE_ROWS = 20_000
-MAX_TERMS = 500
-#: A learned term is in 3 toxic documents or more, and 20 times likelier in one than in others.
-LEAST_POSITIVE, LEAST_ODDS = 3, math.log(20)
+#: Of the lexicon: terms that are learned; in how many toxic documents; and how much likelier in one than in others.
+MAX_TERMS, LEAST_POSITIVE, LEAST_ODDS = 500, 3, math.log(20)
 SEED_WEIGHT = 5.0
 THRESHOLD = 0.3
 _WORDS = re.compile(r"[^\W_]+")
@@ -172,9 +176,10 @@ def _quoted_spans(text: str) -> list[tuple[int, int]]:
 def hits_of(text: str | None, terms: tuple[tuple[str, float], ...]) -> tuple[list[dict], int]:
     """Hits (start, end, term, edits, quotation 0..1, near, addressed) and the number of words."""
     automaton, clean, found = _automaton(terms)
-    lower = (text or "").lower()
-    words = _WORDS.findall(lower)
-    distinct = set(words)
+    text = text or ""
+    spelled = _WORDS.findall(text)
+    lower = {w: w.lower() for w in set(spelled)}
+    distinct = set(lower.values())
     for w in distinct - clean:
         if w not in found:
             m = automaton.match(w)
@@ -185,16 +190,19 @@ def hits_of(text: str | None, terms: tuple[tuple[str, float], ...]) -> tuple[lis
     if len(clean) > _CLEAN_WORDS:
         clean.clear()
     if distinct.isdisjoint(found):
-        return [], len(words)
-    spans = [m.span() for m in _WORDS.finditer(lower)]
+        return [], len(spelled)
+    words = [lower[w] for w in spelled]
+    spans = [m.span() for m in _WORDS.finditer(text)]
     at = [i for i, w in enumerate(words) if w in found]
-    quotes = _quoted_spans(lower) if len(lower) == len(text or "") else []
+    quotes = _quoted_spans(text)
+    openings = [a for a, _ in quotes]
     out = []
     for k, i in enumerate(at):
         term, edits = found[words[i]]
         start, end = spans[i]
         window = words[max(0, i - WINDOW) : i + WINDOW + 1]
-        inside = any(a < start and end <= z for a, z in quotes)
+        q = bisect_left(openings, start) - 1  # the last quotation that opens before; they don't overlap
+        inside = q >= 0 and end <= quotes[q][1]
         reported = any(w in REPORT_WORDS for w in window)
         near = sum(1 for j in at[max(0, k - WINDOW) : k + WINDOW + 1] if abs(j - i) <= WINDOW) - 1
         addressed = any(w in ADDRESS_WORDS for w in window)
@@ -273,21 +281,23 @@ def _newton(x: np.ndarray, y: np.ndarray, ridge: float) -> np.ndarray:
     return w
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = SAMPLE_ROWS) -> ToxicityModel:
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = SAMPLE_ROWS,
+          max_terms: int = MAX_TERMS, least_positive: int = LEAST_POSITIVE, least_odds: float = LEAST_ODDS) -> ToxicityModel:
     """labels holds the rows that may be learned from."""
     spark = docs.sparkSession
     small_batches(spark)
     ids = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("y"))
     ids = spill(ids.orderBy(F.xxhash64(F.lit("toxicity"), "id"), "id").limit(sample_rows), "labels")
-    sample = spill(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(ids), "id").select("id", "y", "text"), "sample")
+    sample = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(ids), "id")
+    sample = spill(sample.groupBy("id").agg(F.max("y").alias("y"), F.max_by("text", text_key(F.col("text"))).alias("text")), "sample")
     n = {r.y: r["count"] for r in sample.groupBy("y").count().collect()}
     if not n.get(0) or not n.get(1):
         return ToxicityModel()
     words = sample.select("y", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(?U)[^\W_]{3,}"), F.lit(0)))).alias("word"))
     counts = words.groupBy("word").agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg"))
     odds = F.log((F.col("pos") + 0.5) / (n[1] + 1)) - F.log((F.col("neg") + 0.5) / (n[0] + 1))
-    marking = counts.where(F.col("pos") >= LEAST_POSITIVE).withColumn("odds", F.round(odds, 6)).where(F.col("odds") >= LEAST_ODDS)
-    learned = {r.word: r.odds for r in marking.orderBy(F.desc(F.col("pos") * F.col("odds")), "word").limit(MAX_TERMS).collect()}
+    marking = counts.where(F.col("pos") >= least_positive).withColumn("odds", F.round(odds, 6)).where(F.col("odds") >= least_odds)
+    learned = {r.word: r.odds for r in marking.orderBy(F.desc(F.col("pos") * F.col("odds")), "word").limit(max_terms).collect()}
     terms = tuple(sorted(({t: SEED_WEIGHT for t in SEED_TERMS} | learned).items()))
 
     @F.pandas_udf("array<double>")
@@ -314,4 +324,4 @@ def score_documents(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id
 def drop_toxic(docs: DataFrame, model: ToxicityModel, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """docs without those that score threshold or more; all columns as they were."""
     small_batches(docs.sparkSession)
-    return docs.withColumn("__t", toxicity(F.col(text_col), model)).where(F.col("__t.score") < threshold).select(*[F.col(c) for c in docs.columns])
+    return unpacked(packed(docs, t=toxicity(F.col(text_col), model)).where(F.col("t.score") < threshold))

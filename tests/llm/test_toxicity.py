@@ -74,3 +74,41 @@ def test_empty_null_and_stage(spark):
 @pytest.mark.parametrize("text", ['"idiot', 'said "you" idiot" x', "« idiot »", "İdiot idiot"])
 def test_odd_quotes_do_not_crash(text):
     assert len(tx.hits_of(text, tx.ToxicityModel().terms)[0]) >= 1
+
+
+def test_a_letter_that_grows_in_lower_case_changes_nothing():
+    terms, plain = tx.ToxicityModel().terms, 'they said "you idiot" and "stupid" in a play'
+    hits, n = tx.hits_of(plain, terms)
+    more, m = tx.hits_of("\u0130 " + plain, terms)
+    assert m == n + 1 and len(hits) == len(more) == 2
+    for h, g in zip(hits, more, strict=True):
+        assert (h["start"] + 2, h["end"] + 2, h["term"], h["quotation"]) == (g["start"], g["end"], g["term"], g["quotation"])
+        assert plain[h["start"] : h["end"]] in ("idiot", "stupid")
+
+
+def test_quotations_equal_brute_force():
+    rnd = random.Random(4)
+    for _ in range(500):
+        text = "".join(rnd.choices(['"', "idiot ", "x ", "\n", "\u00ab", "\u00bb"], k=rnd.randint(1, 40)))
+        quotes = tx._quoted_spans(text)
+        for h in tx.hits_of(text, tx.ToxicityModel().terms)[0]:
+            assert (h["quotation"] == 0.7) == any(a < h["start"] and h["end"] <= z for a, z in quotes)
+
+
+def test_many_quoted_hits_in_one_text_take_linear_time():
+    import time
+
+    began = time.monotonic()
+    hits, _ = tx.hits_of('say "idiot" now ' * 50_000, tx.ToxicityModel().terms)
+    assert len(hits) == 50_000 and time.monotonic() - began < 10
+
+
+def test_rows_that_repeat_an_id_are_learned_from_once(spark):
+    docs = spark.createDataFrame([(1, f"text {i % 3}") for i in range(500)] + [(2, "other")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, toxic int")
+    assert tx.train(docs, labels).trained_on == 2
+
+
+def test_columns_of_any_name_stay_as_they_were(spark):
+    docs = spark.createDataFrame([(1, "fine", 5, 6, 7), (2, "You idiot, stupid worthless loser, moron scum trash", 8, 9, 10)], "doc_id long, text string, `a.b` int, __t int, row int")
+    assert [tuple(r) for r in tx.drop_toxic(docs, tx.ToxicityModel()).collect()] == [(1, "fine", 5, 6, 7)]
