@@ -16,7 +16,8 @@ copies and copies of over half an item.
 Words are runs of letters, digits and underscores of the lower-cased text, so case, punctuation and
 spacing do not matter.  Edge cases: null and empty texts have no hits; items without words are never
 found; an empty benchmark or corpus gives no rows; equal items are each found; rows that repeat are
-each reported; documents with a null id are found under that null id; other columns are not read.
+each reported; documents with a null id are found under that null id; of passages with equal scores the first
+counts; other columns are not read, and may have any names.
 """
 
 from __future__ import annotations
@@ -26,14 +27,14 @@ import re
 from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
-from itertools import accumulate
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import small_batches, spill, text_key
+from skein.llm.common import packed, small_batches, spill, text_key, unpacked
 
 SEED_WORDS = 4
 RARE_DF = 100
@@ -115,10 +116,12 @@ def reach(item: str, passage: str) -> float:
     return sum(min(m, there[w]) for w, m in own.items()) / own.total()
 
 
-def _scan(batches: Iterator[pa.RecordBatch], items: tuple, n: int, block: int, id_type: pa.DataType) -> Iterator[pa.RecordBatch]:
+def _scan(batches: Iterator[pa.RecordBatch], sent, n: int, block: int) -> Iterator[pa.RecordBatch]:
+    items = sent.value
     auto, lengths, any_grams = _automaton(items, n)
-    schema = pa.schema([("id", id_type), ("tkey", pa.int64()), ("item_id", pa.int64()), ("item", pa.string()), ("block", pa.int32()), ("grams", pa.list_(pa.int32())), ("low", pa.int32()), ("passage", pa.string()), ("reach", pa.float64())])
+    schema = pa.schema([("id", pa.null()), ("tkey", pa.int64()), ("item_id", pa.int64()), ("item", pa.string()), ("block", pa.int32()), ("grams", pa.list_(pa.int32())), ("low", pa.int32()), ("passage", pa.string()), ("reach", pa.float64())])
     for batch in batches:
+        schema = schema.set(0, batch.schema.field("id"))
         rows: dict[str, list] = {k: [] for k in schema.names}
         for id_, tkey, text in zip(*(batch.column(c).to_pylist() for c in ("id", "tkey", "text")), strict=True):
             for item, grams, low, passage in find_passages(text, auto, lengths) if text and any_grams else ():
@@ -169,7 +172,7 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", n: int = SEED_WORDS, rare_df: int = RARE_DF, least: float = LEAST) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", n: int = SEED_WORDS, rare_df: int = RARE_DF, least: float = LEAST, block_words: int = BLOCK_WORDS) -> DataFrame:
     """A row for each document and item that it holds: id, tkey, item_id, score, ratio, start_word, end_word.
 
     The best passage of each; positions count the text's words.
@@ -179,20 +182,22 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     rows = docs.select(F.col(id_col).alias("id"), text_key(F.col(text_col)).alias("tkey"), F.col(text_col).alias("text"))
     id_type = rows.schema["id"].dataType.simpleString()
     schema = f"id {id_type}, tkey long, item_id long, item string, block int, grams array<int>, low int, passage string, reach double"
-    arrow_id = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}.get(id_type) or pa.int64()
-    found = None
+    # a block of items at a time: it is held on the driver, sent once to each executor, and its passages are
+    # written before the next block is read
+    passages: list[DataFrame] = []
     items: list[tuple[int, str]] = []
-    size = blocks = 0
+    size = 0
     queries = benchmark.select(F.col(item_col).cast("long").alias("i"), F.col(item_text_col).alias("t")).where("t is not null").orderBy("i", "t")
-    for item in [*queries.toLocalIterator(), None]:
-        if item is None or (items and size > BLOCK_WORDS):
-            scan = rows.mapInArrow(functools.partial(_scan, items=tuple(items), n=n, block=blocks, id_type=arrow_id), schema)
-            found = scan if found is None else found.unionByName(scan)
-            items, size, blocks = [], 0, blocks + 1
+    for item in chain(queries.toLocalIterator(), [None]):
+        if item is None or (items and size > block_words):
+            sent = spark.sparkContext.broadcast(tuple(items))
+            passages.append(spill(rows.mapInArrow(functools.partial(_scan, sent=sent, n=n, block=len(passages)), schema), "passages"))
+            sent.unpersist()
+            items, size = [], 0
         if item is not None:
             items.append((item.i, item.t))
             size += len(item.t.split())
-    found = spill(found, "passages")
+    found = functools.reduce(DataFrame.unionByName, passages)
     # the automaton's numbers name grams within a block: a table of the benchmark's size, not the corpus's
     seen = found.select("block", "item_id", "id", "tkey", F.explode("grams").alias("gram"))
     df = seen.select("block", "gram", "id", "tkey").distinct().groupBy("block", "gram").agg(F.count("*").alias("df"))
@@ -207,6 +212,6 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """docs without the documents that hold a test item; all columns, and rows with null ids, as they were."""
-    gone = spill(contaminated(docs, benchmark, id_col, text_col, **options).select(F.col("id").alias("__id"), F.col("tkey").alias("__tkey")).distinct(), "gone")
-    keyed = docs.withColumn("__own", text_key(F.col(text_col)))
-    return keyed.join(gone, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__tkey")), "left_anti").select(*[F.col(c) for c in docs.columns])
+    gone = spill(contaminated(docs, benchmark, id_col, text_col, **options).select("id", "tkey").distinct(), "gone").select(F.col("id").alias("gone_id"), F.col("tkey").alias("gone_tkey"))
+    keyed = packed(docs, id=F.col(id_col), tkey=text_key(F.col(text_col)))
+    return unpacked(keyed.join(gone, F.col("id").eqNullSafe(F.col("gone_id")) & (F.col("tkey") == F.col("gone_tkey")), "left_anti"))

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import datetime
 import random
 
 import pytest
@@ -65,14 +66,29 @@ def test_finds_what_alignment_of_everything_finds(spark):
     assert set(got) == brute
 
 
-def test_leaked_item_keeps_its_seeds_and_blocks_agree(spark, monkeypatch):
+def test_leaked_item_keeps_its_seeds_and_blocks_agree(spark):
     docs, items, _ = case()
     docs = [*docs, *[(5000 + i, f"x{i} {items[0][1]} y") for i in range(150)]]
     d, b = frames(spark, docs, items)
     whole = sorted(map(str, dc.contaminated(d, b, rare_df=3).collect()))
     assert sum("item_id=0," in r for r in whole) >= 150
-    monkeypatch.setattr(dc, "BLOCK_WORDS", 200)
-    assert sorted(map(str, dc.contaminated(d, b, rare_df=3).collect())) == whole
+    assert sorted(map(str, dc.contaminated(d, b, rare_df=3, block_words=200).collect())) == whole
+
+
+def test_ids_of_any_type_and_columns_of_any_name(spark):
+    item = "alpha beta gamma delta epsilon zeta eta theta iota kappa"
+    docs = spark.createDataFrame([(datetime.date(2024, 1, 1), item, 1, 2, 3), (datetime.date(2024, 1, 2), "clean", 4, 5, 6)], "doc_id date, text string, `a.b` int, __own int, row int")
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    assert [r.id for r in dc.contaminated(docs, items).collect()] == [datetime.date(2024, 1, 1)]
+    assert [tuple(r) for r in dc.drop_contaminated(docs, items).collect()] == [(datetime.date(2024, 1, 2), "clean", 4, 5, 6)]
+
+
+def test_recall_on_the_tables_against_alignment_of_everything(spark, sf):
+    items = [(r.item_id, dc.words_of(r.text)) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    docs = [(r.doc_id, dc.words_of(r.text)) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    want = {(i, k) for i, t in docs for k, w in items if w and dc.align(w, t)[0] >= dc.LEAST * dc.MATCH * len(w)}
+    got = {(r.id, r.item_id) for r in dc.contaminated(spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/benchmark.parquet")).collect()}
+    assert got == want
 
 
 def test_many_edited_copies_of_one_item_are_all_found(spark):
