@@ -8,7 +8,7 @@ different values different ones, as each is a bijection:
   card    13 to 19 digits, groups joined by blanks or hyphens, right by Luhn: all digits but the last
           are permuted, the last is made to check
   phone   numbers of 10 digits with a separator, maybe a country code: the 10 digits
-  ssn     ddd-dd-dddd outside the areas 000, 666 and 9xx: the 9 digits
+  ssn     ddd-dd-dddd outside the areas 000, 666 and 9xx: the 898 areas that are left, and the 6 digits after
   ip      four octets up to 255: the 32 bits
   iban    a country's IBAN, right by mod 97: digits of its account, check digits made anew
   date    yyyy-mm-dd, dd.mm.yyyy and mm/dd/yyyy in the years 1700 to 2099 that exist: the 146 097 days
@@ -31,6 +31,8 @@ ROUNDS = 8
 #: For tests and demonstrations: set another one in production, and keep it secret.
 DEMO_KEY = "skein demonstration key"
 DAYS = (627, 233)
+#: Areas of social security numbers: 001 to 899 but for 666.
+AREAS = 898
 KINDS = ("email", "iban", "ip", "date", "ssn", "phone", "card")
 
 #: What values look like; each pattern matches a whole value.
@@ -152,7 +154,11 @@ def _phone(v: Column, key: str) -> Column:
 
 
 def _ssn(v: Column, key: str) -> Column:
-    return F.when(~v.rlike("^(000|666|9)"), refill(v, permute_digits(_digits(v), key, "ssn")))
+    d = _digits(v)
+    area = F.substring(d, 1, 3).cast("long")
+    s = _network(area - 1 - (area > 666).cast("int"), F.substring(d, 4, 6).cast("long"), F.lit(AREAS).cast("long"), F.lit(10**6).cast("long"), key, F.lit("ssn"))
+    area = s["l"] + 1 + (s["l"] >= 665).cast("int")
+    return F.when(~v.rlike("^(000|666|9)"), refill(v, F.concat(F.lpad(area.cast("string"), 3, "0"), F.lpad(s["r"].cast("string"), 6, "0"))))
 
 
 def _ip(v: Column, key: str) -> Column:
