@@ -26,7 +26,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skein.llm.common import WORD, spill, text_key
+from skein.llm.common import WORD, packed, spill, text_key, unpacked
 
 WEIGHTS = (5, 2, 1)
 MAX_REPEATS = 3
@@ -130,8 +130,8 @@ def mixed_rows(docs: DataFrame, id_col: str = "doc_id", source_col: str = "sourc
 
     A document of which nothing is taken is not in the mix.  The text moves once, with its row.
     """
-    sized = docs.withColumn("__size", n_words(F.col(text_col))).withColumn("__tkey", text_key(F.col(text_col)))
-    shares, plan, n = _plan(sized, source_col, "__size")
-    out = mix(sized, source_col, "__size", [id_col, "__tkey"], shares, plan, n)
-    copies = F.ceil(F.col("__taken") / F.col("__size")).cast("int")
-    return out.where("__taken > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), copies))).select(*docs.columns)
+    sized = packed(docs, source=F.col(source_col), id=F.col(id_col), size=n_words(F.col(text_col)), tkey=text_key(F.col(text_col)))
+    shares, plan, n = _plan(sized, "source", "size")
+    out = mix(sized, "source", "size", ["id", "tkey"], shares, plan, n)
+    copies = F.ceil(F.col("__taken") / F.col("size")).cast("int")
+    return unpacked(out.where("__taken > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), copies))))
