@@ -37,13 +37,14 @@ usual AS (SELECT doc_id, lower(word) AS word, count(*) AS m FROM e WHERE lower(w
 own AS (SELECT doc_id, list_transform({_LIST}, lambda x: coalesce(map_from_entries(list((word, m)))[x], 0)) AS c, sum(m) AS n_common FROM usual GROUP BY doc_id),
 b AS (SELECT doc_id, lang, t, len(ws) AS n_words, length(array_to_string(ws, '')) AS word_chars, {_COUNT.format(ql.SYMBOLS)} AS n_symbols, len(ls) - len(list_distinct(ls)) AS n_dup_lines, {_COUNT.format(ql.UPPER)} AS up, {_COUNT.format(ql.DIGIT)} AS dg, {_COUNT.format(_PUNCTUATION)} AS pn FROM w),
 cl AS (SELECT *, [length(t) - word_chars, n_symbols, up, dg, pn, word_chars - n_symbols - up - dg - pn] AS classes FROM b),
-rc AS (SELECT lang, list_transform([sum(classes[1]), sum(classes[2]), sum(classes[3]), sum(classes[4]), sum(classes[5]), sum(classes[6])], lambda x: x / sum(length(t))) AS q, sum(length(t)) AS n FROM cl GROUP BY lang),
-rw AS (SELECT lang, list_transform({_LIST}, lambda x: coalesce(map_from_entries(list((word, m)))[x], 0) / sum(m)) AS q, sum(m) AS n FROM (SELECT lang, word, sum(m) AS m FROM usual JOIN documents USING (doc_id) GROUP BY ALL) GROUP BY lang),
-j AS (SELECT cl.*, coalesce(r, 0) AS n_repeat_words, CASE WHEN length(t) >= {ql.LEAST_CHARS} AND rc.n >= {ql.LEAST_REFERENCE} THEN {_distance("list_transform(classes, lambda x: x / length(t))", "rc.q")} END AS class_distance,
-CASE WHEN n_common >= {ql.LEAST_COMMON} AND rw.n >= {ql.LEAST_REFERENCE} THEN {_distance("list_transform(c, lambda x: x / n_common)", "rw.q")} END AS word_distance
-FROM cl LEFT JOIN rep USING (doc_id) LEFT JOIN own USING (doc_id) LEFT JOIN rc ON rc.lang IS NOT DISTINCT FROM cl.lang LEFT JOIN rw ON rw.lang IS NOT DISTINCT FROM cl.lang),
-f AS (SELECT *, n_words < {ql.LEAST_WORDS} OR 100 * n_repeat_words > {ql.MOST_REPEATED} * n_words AS base_failed FROM j)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce(class_distance, 0) <= {ql.MOST_CLASS_DISTANCE} AND coalesce(word_distance, 0) <= {ql.MOST_WORD_DISTANCE} AS kept, round(class_distance, 6) AS class_distance, round(word_distance, 6) AS word_distance FROM f
+f AS (SELECT cl.*, coalesce(r, 0) AS n_repeat_words, n_words < {ql.LEAST_WORDS} OR 100 * coalesce(r, 0) > {ql.MOST_REPEATED} * n_words AS base_failed FROM cl LEFT JOIN rep USING (doc_id)),
+rc AS (SELECT lang, list_transform([sum(classes[1]), sum(classes[2]), sum(classes[3]), sum(classes[4]), sum(classes[5]), sum(classes[6])], lambda x: x / sum(length(t))) AS q, sum(length(t)) AS n, sum(n_words) AS w FROM f WHERE NOT base_failed GROUP BY lang),
+rw AS (SELECT lang, map_from_entries(list((word, m))) AS c, sum(m) AS n_common FROM (SELECT lang, word, sum(m) AS m FROM usual JOIN f USING (doc_id) WHERE NOT base_failed GROUP BY ALL) GROUP BY lang),
+ref AS (SELECT rc.lang, rc.q, rc.n, rc.w, list_append(list_transform({_LIST}, lambda x: coalesce(c[x], 0) / rc.w), (rc.w - coalesce(n_common, 0)) / rc.w) AS words FROM rc LEFT JOIN rw ON rw.lang IS NOT DISTINCT FROM rc.lang),
+j AS (SELECT f.*, CASE WHEN length(t) >= {ql.LEAST_CHARS} AND ref.n >= {ql.LEAST_REFERENCE} THEN {_distance("list_transform(classes, lambda x: x / length(t))", "ref.q")} END AS class_distance,
+CASE WHEN n_words >= {ql.LEAST_HISTOGRAM_WORDS} AND ref.w >= {ql.LEAST_REFERENCE} THEN {_distance("list_append(list_transform(coalesce(c, " + f"list_transform({_LIST}, lambda x: 0)" + "), lambda x: x / n_words), (n_words - coalesce(n_common, 0)) / n_words)", "ref.words")} END AS word_distance
+FROM f LEFT JOIN own USING (doc_id) LEFT JOIN ref ON ref.lang IS NOT DISTINCT FROM f.lang)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce(class_distance <= {ql.MOST_CLASS_DISTANCE}, true) AND coalesce(word_distance <= sqrt({ql.MOST_WORD_DISTANCE**2} + {ql.WORD_NOISE} / n_words), true) AS kept, round(class_distance, 6) AS class_distance, round(word_distance, 6) AS word_distance FROM j
 """
 
 WARC = f"""

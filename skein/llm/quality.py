@@ -2,9 +2,12 @@
 
 Base rules count words, symbols, repeated lines and words in repeated windows of 8 words.  Beyond them a
 document's histograms of character classes and of common words are compared with the reference of its
-language by Jensen-Shannon distance (base 2, so 0 to 1).  A reference is the sum of the histograms of all
-documents of the language.  Distances count only past minimum lengths: of the document (too short a
-histogram is far from anything) and of the reference.
+language by Jensen-Shannon distance (base 2, so 0 to 1).  All words that are not common are one more cell of
+the second histogram, so that a text without common words is far from any prose.  A reference is the sum of
+the histograms of all documents of the language that pass the base rules.  Distances count only past
+minimum lengths: of the document (too short a histogram is far from anything) and of the reference.  Even a
+clean sample of n words is some way off, by about cells / (8 ln 2 n) of the squared distance; a document fails
+past MOST_WORD_DISTANCE and that allowance, of WORD_NOISE / n.
 
 Repeated windows are found inside the row: words are hashed, hashes of 8 neighbours are folded by
 doubling (2, 4, 8), and where a document has fewer distinct windows than windows the hashes are sorted
@@ -12,7 +15,8 @@ with their positions, so that the work grows as n log n with a document's words.
 
 Edge cases: null and empty texts have no words and fail the base rules; a null language is a language of
 its own; texts under the minimum lengths are judged by the base rules alone; rows that repeat each get
-their row, and count twice in the reference; other columns are not read.
+their row, and count twice in the reference; a distance equal to its limit passes; a language whose documents
+all fail the base rules has no reference and no distances; other columns are not read, and may have any names.
 """
 
 from __future__ import annotations
@@ -38,10 +42,13 @@ UPPER, DIGIT, PUNCTUATION = r"\p{Lu}", r"[0-9]", r"""[.,;:!?'"()-]"""
 CLASSES = ("blank", "symbol", "upper", "digit", "punctuation", "other")
 
 #: Distances past these fail.
-MOST_CLASS_DISTANCE, MOST_WORD_DISTANCE = 0.25, 0.75
+MOST_CLASS_DISTANCE, MOST_WORD_DISTANCE = 0.25, 0.15
+#: For some 30 cells in use in a language: 30 / (8 ln 2) and a little.
+WORD_NOISE = 6.0
 #: References of so many languages take about 10 MB, and are sent to all executors; more are joined by shuffle.
 MOST_LANGUAGES = 10_000
-LEAST_CHARS, LEAST_COMMON, LEAST_REFERENCE = 200, 100, 2000
+#: Of a document's characters and words, and of a reference's of either.
+LEAST_CHARS, LEAST_HISTOGRAM_WORDS, LEAST_REFERENCE = 200, 50, 2000
 
 
 def _count(text: Column, pattern: str) -> Column:
@@ -81,7 +88,7 @@ def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     common = F.when(F.size("usual") > 0, F.transform(kinds, lambda k: F.struct(k.alias("w"), (F.size("usual") - F.size(F.array_remove("usual", k))).cast("long").alias("m"))))
     return df.select(
         "doc_id", "lang", *[F.col(c).cast("long").alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "chars")],
-        classes.cast("array<bigint>").alias("classes"), F.coalesce(common, F.array().cast("array<struct<w:string,m:bigint>>")).alias("common"), (F.col("n_words") - F.size("usual")).cast("long").alias("rare"),
+        classes.cast("array<bigint>").alias("classes"), F.coalesce(common, F.array().cast("array<struct<w:string,m:bigint>>")).alias("common"),
     )
 
 
@@ -96,15 +103,26 @@ def _distance(p: Column, q: Column) -> Column:
     return F.sqrt(F.greatest(F.lit(0.0), sums / 2))
 
 
+def _base_failed() -> Column:
+    return (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
+
+
+def _word_shares(counts: str, n_words: str) -> Column:
+    """Shares of n_words of each common word, by a map of counts, and of all others."""
+    of = F.transform(F.array(*[F.lit(w) for w in COMMON]), lambda w: F.coalesce(F.try_element_at(counts, w), F.lit(0).cast("long")))
+    usual = F.aggregate(F.map_values(counts), F.lit(0).cast("long"), lambda s, v: s + v)
+    return F.transform(F.array_append(of, F.col(n_words) - usual), lambda m: F.try_divide(m, F.col(n_words)))
+
+
 def references(found: DataFrame) -> DataFrame:
-    """A row for each language: shares of classes and of common words (a map), and how many each rests on."""
-    chars = found.groupBy("lang").agg(*[F.sum(F.col("classes")[i]).alias(f"c{i}") for i in range(len(CLASSES))], F.sum("rare").alias("rare"))
+    """A row for each language: shares of classes and of words, and how many characters and words they rest on."""
+    found = found.where(~_base_failed())
+    sums = found.groupBy("lang").agg(*[F.sum(F.col("classes")[i]).alias(f"c{i}") for i in range(len(CLASSES))], F.sum("n_words").alias("r_words"))
     words = found.select("lang", F.inline("common")).groupBy("lang", "w").agg(F.sum("m").alias("m")).groupBy("lang").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("w", "m")))).alias("common"))
     words = words.select(F.col("lang").alias("l"), "common")
-    both = chars.join(words, F.col("lang").eqNullSafe(F.col("l")), "left").drop("l")
+    both = sums.join(words, F.col("lang").eqNullSafe(F.col("l")), "left").drop("l").withColumn("common", F.coalesce("common", F.create_map().cast("map<string,bigint>")))
     total = sum((F.col(f"c{i}") for i in range(1, len(CLASSES))), F.col("c0"))
-    n = F.aggregate(F.map_values(F.coalesce("common", F.create_map().cast("map<string,bigint>"))), F.lit(0).cast("long"), lambda s, v: s + v)
-    return both.select(F.col("lang").alias("r_lang"), F.array(*[F.try_divide(F.col(f"c{i}"), total) for i in range(len(CLASSES))]).alias("r_classes"), total.alias("r_chars"), F.transform(F.array(*[F.lit(w) for w in COMMON]), lambda w: F.try_divide(F.coalesce(F.try_element_at("common", w), F.lit(0)), n)).alias("r_common"), n.alias("r_words"))
+    return both.select(F.col("lang").alias("r_lang"), F.array(*[F.try_divide(F.col(f"c{i}"), total) for i in range(len(CLASSES))]).alias("r_classes"), total.alias("r_chars"), _word_shares("common", "r_words").alias("r_common"), "r_words")
 
 
 def judged(found: DataFrame, max_class: float = MOST_CLASS_DISTANCE, max_word: float = MOST_WORD_DISTANCE) -> DataFrame:
@@ -112,16 +130,13 @@ def judged(found: DataFrame, max_class: float = MOST_CLASS_DISTANCE, max_word: f
     ref = spill(references(found), "references")
     few = ref.count() <= MOST_LANGUAGES  # a language may hold a third of all rows, so they are not dealt out by it
     df = found.join(F.broadcast(ref) if few else ref, F.col("lang").eqNullSafe(F.col("r_lang")), "left")
-    own = F.map_from_entries("common")
-    n = F.aggregate("common", F.lit(0).cast("long"), lambda s, x: s + x["m"])
-    df = df.withColumn("n_common", n).withColumn("own", own)
-    p = F.transform(F.array(*[F.lit(w) for w in COMMON]), lambda w: F.try_divide(F.coalesce(F.try_element_at("own", w), F.lit(0)), F.col("n_common")))
+    df = df.withColumn("own", F.map_from_entries("common"))
     class_distance = F.when((F.col("chars") >= LEAST_CHARS) & (F.col("r_chars") >= LEAST_REFERENCE), _distance(F.transform("classes", lambda c: F.try_divide(c, F.col("chars"))), F.col("r_classes")))
-    word_distance = F.when((F.col("n_common") >= LEAST_COMMON) & (F.col("r_words") >= LEAST_REFERENCE), _distance(p, F.col("r_common")))
+    word_distance = F.when((F.col("n_words") >= LEAST_HISTOGRAM_WORDS) & (F.col("r_words") >= LEAST_REFERENCE), _distance(_word_shares("own", "n_words"), F.col("r_common")))
     df = df.withColumn("class_distance", class_distance).withColumn("word_distance", word_distance)
-    failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
-    far = (F.coalesce("class_distance", F.lit(0.0)) > max_class) | (F.coalesce("word_distance", F.lit(0.0)) > max_word)
-    return df.withColumn("base_failed", failed).withColumn("kept", ~failed & ~far)
+    most_word = F.sqrt(F.lit(max_word**2) + F.try_divide(F.lit(WORD_NOISE), F.col("n_words")))
+    far = F.coalesce(F.col("class_distance") > max_class, F.lit(False)) | F.coalesce(F.col("word_distance") > most_word, F.lit(False))
+    return df.withColumn("base_failed", _base_failed()).withColumn("kept", ~F.col("base_failed") & ~far)
 
 
 def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **limits) -> DataFrame:
