@@ -1,17 +1,19 @@
 """WARC archives: a deterministic sharded writer, and a reader.
 
-Records are dealt out by ranges of page ids and sorted.  The ranges are cut, from the bytes that each of
-CELLS equal cells of the id axis holds, where range_bytes are reached: they depend on the pages alone, so
-the same pages give the same files on any cluster.  Each record is a gzip member of its own; a file is
-closed at its range's end, or when its compressed size reaches roll_bytes.  All
+Records are sorted by page id and payload digest and cut into ranges of range_bytes, by the exact running
+total of all records before: the cuts depend on the pages alone, so the same pages give the same files on any
+cluster, and however the ids are spread no range holds more than range_bytes and one page's records (where there
+would be more than MOST_RANGES, ranges grow instead: the driver holds one key a range).  Each range is a
+task of its own.  Each record is a gzip member of its own; a file is closed when its compressed size
+reaches roll_bytes, several times a range, or at its range's end.  All
 headers are made anew, the record id, date and digests from the record's content, never from a clock.
 A payload of at least min_revisit bytes that another record has too is written once, with the smallest
 page id; the others become revisit records (identical-payload-digest) that refer to it.
 
 A task writes under a temporary name that holds its own attempt, and reports file, size, digest and
 records; the reports are a table that only finished tasks are in.  The manifest is made from it, and only
-then are its files given their final names, which can be repeated after a failure; files of lost or
-repeated attempts are in no manifest and are removed.  Readers go by the manifest.
+then are its files given their final names, which can be repeated after a failure; this run's files of lost
+or repeated attempts are in no manifest and are removed, another writer's are left alone.  Readers go by the manifest.
 
 Files are reached through pyarrow's file systems by the folder's URI, so any store works that pyarrow
 has a file system for.  Tasks hold one record and one compressed buffer of at most roll_bytes.
@@ -27,19 +29,23 @@ import base64
 import functools
 import hashlib
 import io
+import json
+import math
 import uuid
 import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skein.llm.common import fresh_path, small_batches, spill
+from skein.llm.common import fresh_path, join_by_size, release, small_batches, spill
 
-ROLL_BYTES = 64 << 20
-RANGE_BYTES = 16 << 20
-CELLS = 8192
+#: Of a file, compressed, and of a range, as it is: HTML is packed to about a quarter, so a range gives some files.
+ROLL_BYTES, RANGE_BYTES = 4 << 20, 64 << 20
+MOST_RANGES = 50_000
+#: Bytes of a record's headers, about.
+HEADER_BYTES = 500
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 MANIFEST = "name string, temp string, bytes long, sha1 string, records long"
@@ -76,12 +82,12 @@ def _fs(folder: str):
     return FileSystem.from_uri(folder)
 
 
-def _write(batches: Iterator[pa.RecordBatch], folder: str, roll_bytes: int) -> Iterator[pa.RecordBatch]:
+def _write(batches: Iterator[pa.RecordBatch], folder: str, roll_bytes: int, run: str) -> Iterator[pa.RecordBatch]:
     """Records arrive sorted; a file is whole when it is reported."""
     from pyspark import TaskContext
 
     fs, base = _fs(folder)
-    attempt = f"{TaskContext.get().partitionId()}-{uuid.uuid4().hex}"
+    attempt = f"{run}-{TaskContext.get().partitionId()}-{uuid.uuid4().hex}"
     buffer, records, nth, part = io.BytesIO(), 0, 0, 0
     rows: list[tuple] = []
     last = None
@@ -91,7 +97,7 @@ def _write(batches: Iterator[pa.RecordBatch], folder: str, roll_bytes: int) -> I
         nonlocal buffer, records, nth
         if records:
             data = buffer.getvalue()
-            temp = f"{base}/tmp-{part:06}-{nth:05}-{attempt}.warc.gz"
+            temp = f"{base}/tmp-{attempt}-{part:06}-{nth:05}.warc.gz"
             with fs.open_output_stream(temp, compression=None) as out:
                 out.write(data)
             rows.append((f"part-{part:06}-{nth:05}.warc.gz", temp, len(data), hashlib.sha1(data).hexdigest(), records))
@@ -131,20 +137,43 @@ def _publish(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.Reco
         yield pa.RecordBatch.from_pydict({"name": done})
 
 
-def _ranges(digests: DataFrame, range_bytes: int) -> tuple[list[int], int, int]:
-    """The last cell of each range but the last, the smallest id and the cells' width in ids."""
-    low, high = digests.agg(F.min("page_id"), F.max("page_id")).first()
-    if low is None:
-        return [], 0, 1
-    width = (high - low) // CELLS + 1
-    cells = digests.where("page_id is not null").groupBy(F.floor((F.col("page_id") - low) / width).alias("cell")).agg(F.sum(F.col("n") + 500).alias("bytes"))
-    ends, total = [], 0
-    for r in cells.orderBy("cell").collect():  # CELLS rows at most
+def _key(page_id: Column, digest: Column) -> Column:
+    """What ranges are cut by; rows without an id come first."""
+    return F.struct(F.coalesce(page_id, F.lit(-(2**63))).alias("p"), F.conv(F.substring(digest, 1, 15), 16, 10).cast("long").alias("d"))
+
+
+def _cuts(digests: DataFrame, range_bytes: int) -> list[tuple[int, int]]:
+    """The first key of each range but the first."""
+    keyed = digests.groupBy(_key(F.col("page_id"), F.col("digest")).alias("key")).agg(F.sum(F.col("n") + HEADER_BYTES).alias("bytes"))
+    # sorted pieces, the totals of those before, and the running total within each
+    pieces = spill(keyed.repartitionByRange("key").select("key", "bytes", F.spark_partition_id().alias("piece")), "keys")
+    before, total = {}, 0
+    for r in pieces.groupBy("piece").agg(F.sum("bytes").alias("bytes"), F.min("key").alias("low")).orderBy("low").collect():
+        before[r.piece] = total
         total += r.bytes
-        if total >= range_bytes:
-            ends.append(r.cell)
-            total = 0
-    return ends, low, width
+    range_bytes = max(range_bytes, math.ceil(total / MOST_RANGES))
+    starts = digests.sparkSession.createDataFrame(list(before.items()), "piece int, before long")
+    within = F.sum("bytes").over(Window.partitionBy("piece").orderBy("key").rowsBetween(Window.unboundedPreceding, -1))
+    at = F.col("before") + F.coalesce("within", F.lit(0))
+    ranges = pieces.withColumn("within", within).join(F.broadcast(starts), "piece").groupBy(F.floor(at / range_bytes).alias("span")).agg(F.min("key").alias("low"))
+    firsts = sorted((r.low.p, r.low.d) for r in ranges.collect())  # MOST_RANGES at most
+    release(pieces)
+    return firsts[1:]
+
+
+def _span(key: Column, cuts: list[tuple[int, int]]) -> Column:
+    """How many cuts are not above a key, by halving; the cuts are one constant of the plan."""
+    if not cuts:
+        return F.lit(0)
+    table = F.from_json(F.lit(json.dumps([{"p": p, "d": d} for p, d in cuts])), "array<struct<p:bigint,d:bigint>>")
+    start = F.struct(F.lit(0).alias("low"), F.lit(len(cuts)).alias("high"))
+
+    def halve(s, _):
+        mid = F.floor((s["low"] + s["high"]) / 2).cast("int")
+        below = (s["low"] < s["high"]) & (F.get(table, mid) <= key)
+        return F.struct(F.when(below, mid + 1).otherwise(s["low"]).alias("low"), F.when(below | (s["low"] >= s["high"]), s["high"]).otherwise(mid).alias("high"))
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(len(cuts).bit_length() + 1)), start, halve)["low"]
 
 
 def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_revisit: int = 0, roll_bytes: int = ROLL_BYTES, range_bytes: int = RANGE_BYTES) -> DataFrame:
@@ -156,23 +185,24 @@ def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col:
     payload = F.coalesce(F.col(html_col), F.lit("")).cast("binary")
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), payload.alias("payload"))
     # the smallest id of each payload that occurs again: digests only, the payloads stay where they are
-    digests = rows.select("page_id", F.sha1("payload").alias("digest"), F.octet_length("payload").alias("n"))
+    digests = spill(rows.select("page_id", F.sha1("payload").alias("digest"), F.octet_length("payload").alias("n")), "digests")
     again = digests.where(F.col("page_id").isNotNull() & (F.col("n") >= min_revisit)).groupBy("digest").agg(F.min("page_id").alias("low"), F.count("*").alias("m")).where("m > 1").select("digest", "low")
     again = spill(again, "payloads")
-    marked = rows.withColumn("digest", F.sha1("payload")).join(F.broadcast(again) if again.count() <= 500_000 else again, "digest", "left")
-    ends, low_id, width = _ranges(digests, range_bytes)
-    cell = F.coalesce(F.floor((F.col("page_id") - low_id) / width), F.lit(-1))
-    span = F.size(F.filter(F.array(*[F.lit(e) for e in ends]), lambda e: e < cell)) if ends else F.lit(0)
-    dealt = marked.withColumn("span", span.cast("int")).repartition(len(ends) + 1, "span")
+    cuts = _cuts(digests, range_bytes)
+    release(digests)
+    marked = join_by_size(rows.withColumn("digest", F.sha1("payload")), again, ["digest"], again.count(), "left")
+    spanned = marked.withColumn("span", _span(_key(F.col("page_id"), F.col("digest")), cuts).cast("int"))
+    dealt = spanned.repartitionById(len(cuts) + 1, F.col("span"))
     ordered = dealt.sortWithinPartitions("span", "page_id", "digest", "url").select("span", "page_id", "url", "payload", "low")
-    manifest = ordered.mapInArrow(functools.partial(_write, folder=folder, roll_bytes=roll_bytes), MANIFEST)
+    run = uuid.uuid4().hex
+    manifest = ordered.mapInArrow(functools.partial(_write, folder=folder, roll_bytes=roll_bytes, run=run), MANIFEST)
     manifest.write.mode("overwrite").parquet(f"{folder}/manifest")
     manifest = spark.read.schema(MANIFEST).parquet(f"{folder}/manifest")
     spill(manifest.mapInArrow(functools.partial(_publish, folder=folder), "name string"), "published")
     from pyarrow.fs import FileSelector, FileType
 
-    for info in fs.get_file_info(FileSelector(base)):  # of attempts that are in no manifest
-        if info.type == FileType.File and info.base_name.startswith("tmp-"):
+    for info in fs.get_file_info(FileSelector(base)):  # of this run's attempts that are in no manifest
+        if info.type == FileType.File and info.base_name.startswith(f"tmp-{run}-"):
             fs.delete_file(info.path)
     return manifest
 

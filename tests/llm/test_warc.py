@@ -54,6 +54,29 @@ def test_same_pages_same_files(spark, tmp_path):
     assert out[0] == out[1]
 
 
+def test_ranges_hold_what_they_should_with_an_outlier_and_one_hot_id(spark):
+    rows = [(i, "u", f"{i}" * 50) for i in range(300)] + [(2**62, "u", "far away")] + [(7, "u", f"hot {i} " * 10) for i in range(300)] + [(None, "u", f"null {i}") for i in range(50)]
+    digests = frame(spark, rows).selectExpr("page_id", "sha1(html) as digest", "octet_length(html) as n")
+    cuts = warc._cuts(digests, 20_000)
+    spans = digests.withColumn("span", warc._span(warc._key(digests.page_id, digests.digest), cuts))
+    sizes = [r.b for r in spans.groupBy("span").agg({"n": "sum", "page_id": "count", "digest": "count"}).selectExpr("`sum(n)` + 500 * `count(digest)` as b").collect()]
+    assert len(sizes) == len(cuts) + 1 and max(sizes) <= 20_000 + 2000 and len(sizes) >= 15
+    keys = sorted((-(2**63) if r.page_id is None else r.page_id, int(r.digest[:15], 16), r.span) for r in spans.collect())
+    assert all(s == sum(c <= (p, d) for c in cuts) for p, d, s in keys)
+
+
+def test_each_range_is_a_task_and_files_roll(spark, tmp_path):
+    import random
+
+    rnd = random.Random(3)
+    rows = [(i, "u", "".join(rnd.choices("abcdefghij", k=4000))) for i in range(400)]
+    proportion = warc.RANGE_BYTES // warc.ROLL_BYTES
+    manifest = warc.write_warc(frame(spark, rows), f"file://{tmp_path}/w", roll_bytes=400_000 // proportion, range_bytes=400_000).collect()
+    parts = {r.name.split("-")[1] for r in manifest}
+    tasks = {Path(r.temp).name.split("-")[2] for r in manifest}
+    assert len(parts) == len(tasks) == 5 and len(manifest) >= 3 * len(parts)
+
+
 def test_empty_nulls_and_repeats(spark):
     assert warc.round_trip(frame(spark, [])).count() == 0
     rows = [(None, "u", "x"), (None, "u", "x"), (1, "a", "y"), (1, "b", "y"), (1, "c", "z"), (2, "d", "y")]
