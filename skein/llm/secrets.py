@@ -52,7 +52,8 @@ LEAST_ASSIGN, LEAST_ACCESS = 6, 20
 LEAST_RUN = 16
 CANDIDATE = re.compile(rf"[A-Za-z0-9+/_=-]{{{LEAST_RUN},}}")
 STRETCH = re.compile(rf"[A-Za-z0-9]{{{LEAST_RUN},}}")
-NAME = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z]{3,}[0-9]{0,4}(?:[_/-][A-Za-z]{3,}[0-9]{0,4})*(?![A-Za-z0-9+/_=-])")
+RUN = re.compile(r"[A-Za-z0-9+/_=-]{3,}")
+NAME = re.compile(r"[A-Za-z]{3,}[0-9]{0,4}(?:[_/-][A-Za-z]{3,}[0-9]{0,4})*")
 
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 #: Nats a character by which random must be likelier, in runs with and without a digit.
@@ -141,21 +142,28 @@ def fit(random: np.ndarray, ordinary: np.ndarray) -> SecretModel:
 def _samples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(random, s): names and values of the forms, each once while they are held."""
     schema = pa.schema([("random", pa.bool_()), ("s", pa.string())])
-    held: set[tuple[bool, str]] = set()
+    values: set[str] = set()
+    runs: set[str] = set()
 
     def sent() -> pa.RecordBatch:
-        rows = sorted(held)
-        held.clear()
-        return pa.RecordBatch.from_pydict({"random": [r for r, _ in rows], "s": [s for _, s in rows]}, schema=schema)
+        names = [s for s in runs if NAME.fullmatch(s)]
+        out = pa.RecordBatch.from_pydict({"random": [True] * len(values) + [False] * len(names), "s": [*values, *names]}, schema=schema)
+        values.clear()
+        runs.clear()
+        return out
 
     for batch in batches:
         for text in batch.column("text").to_pylist():
             if not text:
                 continue
             taken = base_spans(text)
-            held.update((True, v) for a, k, z in taken for v in ([ASSIGN.match(text, a)[1]] if k == 0 else [text[a:z]]) if len(v) >= LEAST_RUN)
-            held.update((False, m[0]) for m in (_free(NAME, text, taken) if taken else NAME.finditer(text)))
-            if len(held) >= HELD_STRINGS:
+            if taken:
+                found = (ASSIGN.match(text, a)[1] if k == 0 else text[a:z] for a, k, z in taken)
+                values.update(v for v in found if len(v) >= LEAST_RUN)
+                runs.update(m[0] for m in _free(RUN, text, taken))
+            else:
+                runs.update(RUN.findall(text))
+            if len(values) + len(runs) >= HELD_STRINGS:
                 yield sent()
     yield sent()
 
@@ -164,12 +172,17 @@ def _triples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(random, triple, m) of distinct strings; at most one row a triple and label."""
     counts = {label: np.zeros(_N**3, np.int64) for label in (False, True)}
     for batch in batches:
+        ways: list[str] = []
+        values: list[str] = []
         for label, s in zip(batch.column("random").to_pylist(), batch.column("s").to_pylist(), strict=True):
             # letters alone are no random value: passwords in prose
             if not label:
-                _count(counts[label], spellings(s))
+                ways += spellings(s)
             elif _HAS_DIGIT.search(s):
-                _count(counts[label], [s])
+                values.append(s)
+        for label, strings in ((False, ways), (True, values)):
+            if strings:
+                _count(counts[label], strings)
     for label, c in counts.items():
         at = np.flatnonzero(c)
         yield pa.RecordBatch.from_pydict({"random": [label] * len(at), "triple": at, "m": c[at]}, schema=pa.schema([("random", pa.bool_()), ("triple", pa.int64()), ("m", pa.int64())]))
