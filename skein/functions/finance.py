@@ -1,17 +1,22 @@
 """Financial entities: amounts, percentages, dates and metric mentions, as arrays of structs.
 
-Spans are had without leaving the JVM: the gaps that a pattern's split leaves and the matches it finds
-add up to the position of each match.
+They are found in Arrow batches: each pattern goes over a text once, and positions, values and contexts come
+from its matches, so the work grows with a text's length and not with the square of what it holds.
 """
 
 from __future__ import annotations
 
+import datetime
+import re
+from collections.abc import Callable, Iterator
+from functools import cache, partial
+
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 CONTEXT_CHARS = 50
 NUMBER_CHARS = 100
-MARK = "\ue000"
 
 # The patterns, keywords and factors of the extraction rules, in the order of the results.
 CURRENCY_PATTERNS = {
@@ -27,13 +32,13 @@ MONTHS = "Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec"
 DATE_PATTERNS = (
     (r"(\d{1,2})[/-](\d{1,2})[/-](\d{4})", None),
     (r"(\d{4})[/-](\d{1,2})[/-](\d{1,2})", None),
-    (rf"({MONTHS})[a-z]*\.?\s+(\d{{1,2}}),?\s+(\d{{4}})", "MMM d yyyy"),
-    (rf"(\d{{1,2}})\s+({MONTHS})[a-z]*\.?\s+(\d{{4}})", "d MMM yyyy"),
+    (rf"({MONTHS})[a-z]*\.?\s+(\d{{1,2}}),?\s+(\d{{4}})", "mdy"),
+    (rf"(\d{{1,2}})\s+({MONTHS})[a-z]*\.?\s+(\d{{4}})", "dmy"),
     (r"(Q[1-4])\s+(\d{4})", None),
     (r"FY\s*(\d{4})", None),
 )
-#: The notations that the numeric dates have; without fix_dates they stay unparsed.
-NUMERIC_DATES = {0: "M d yyyy", 1: "yyyy M d"}
+#: The order of day, month and year in the numeric dates; without fix_dates they stay unparsed.
+NUMERIC_DATES = {0: "mdy", 1: "ymd"}
 METRICS = {
     "revenue": ("revenue", "sales", "turnover", "top line"),
     "profit": ("profit", "earnings", "income", "bottom line"),
@@ -51,28 +56,12 @@ PERCENTAGE_KINDS = (("growth", ("growth", "increase", "decrease", "change", "yoy
 NEAR_NUMBER = r"[\$€£₹]?\s*([\d,]+(?:\.\d+)?)\s*(?:million|billion|M|B)?"
 
 ENTITY = "struct<entity_type:string,value:string,normalized_number:double,normalized_ts:timestamp_ntz,context:string,confidence:double>"
+_FIELDS = (("entity_type", pa.string()), ("value", pa.string()), ("normalized_number", pa.float64()), ("normalized_ts", pa.timestamp("us")), ("context", pa.string()), ("confidence", pa.float64()))
+#: What Unicode counts as white space.
+_BLANKS = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
-
-def spans(text: Column, pattern: str, needs: tuple[str, ...] = ()) -> Column:
-    """array of struct(start, value): every match of a pattern, start counted from 0.
-
-    needs: lower-case strings one of which any match holds; a search for them spares most texts the pattern.
-    """
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    # a one-character separator is split on without a pattern being compiled for each row
-    parts = F.when(text.contains(MARK), F.split(text, pattern, -1)).otherwise(F.split(F.regexp_replace(text, pattern, MARK), MARK, -1))
-    gaps = F.slice(parts, F.lit(1), F.size(found))
-
-    def step(s, x):
-        start = s["at"] + F.length(x["gap"])
-        return F.struct((start + F.length(x["value"])).alias("at"), F.array_append(s["out"], F.struct(start.alias("start"), x["value"].alias("value"))).alias("out"))
-
-    zipped = F.zip_with(gaps, found, lambda g, v: F.struct(g.alias("gap"), v.alias("value")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,value:string>>").alias("out"))
-    some = F.lit(False)
-    for n in needs:
-        some = some | F.lower(text).contains(n)
-    return F.when(some if needs else text.rlike(pattern), F.aggregate(zipped, start, step)["out"]).otherwise(F.array().cast("array<struct<start:int,value:string>>"))
+#: One text and its lower case to its entities.
+Finder = Callable[[str, str], Iterator[tuple]]
 
 
 def to_number(value: Column) -> Column:
@@ -82,88 +71,108 @@ def to_number(value: Column) -> Column:
     return v.try_cast("double")
 
 
-def multiplier(value: Column) -> Column:
-    out, low = None, F.lower(value)
-    for word, factor in MULTIPLIERS.items():
-        out = F.when(low.contains(word), F.lit(factor)) if out is None else out.when(low.contains(word), F.lit(factor))
-    return out
-
+def _number(value: str) -> float | None:
+    """As to_number, of digits, commas and a sign."""
+    try:
+        return float(value.replace(",", "").replace(" ", ""))
+    except ValueError:
+        return None
 
-def context(text: Column, start: Column, end: Column, width: int = CONTEXT_CHARS) -> Column:
-    low, high = F.greatest(F.lit(0), start - width), F.least(F.length(text), end + width)
-    inner = F.regexp_replace(F.substring(text, low + 1, high - low), r"(?U)^\s+|\s+$", "")
-    return F.concat(F.when(low > 0, F.lit("...")).otherwise(F.lit("")), inner, F.when(high < F.length(text), F.lit("...")).otherwise(F.lit("")))
 
+def _factor(value: str) -> float | None:
+    low = value.lower()
+    return next((factor for word, factor in MULTIPLIERS.items() if word in low), None)
 
-def percentage_kind(near: Column) -> Column:
-    low, out = F.lower(near), None
-    for kind, words in PERCENTAGE_KINDS:
-        hit = low.rlike("|".join(words))
-        out = F.when(hit, F.lit(kind)) if out is None else out.when(hit, F.lit(kind))
-    return out.otherwise(F.lit("other"))
 
+def _context(text: str, start: int, end: int) -> str:
+    low, high = max(0, start - CONTEXT_CHARS), min(len(text), end + CONTEXT_CHARS)
+    return ("..." if low > 0 else "") + text[low:high].strip(_BLANKS) + ("..." if high < len(text) else "")
 
-def _entities(text: Column, pattern: str, make, needs: tuple[str, ...] = ()) -> Column:
-    """make(match, context) -> (type, number, timestamp, confidence)."""
 
-    def entity(m):
-        near = context(text, m["start"], m["start"] + F.length(m["value"]))
-        kind, number, ts, sure = make(m, near)
-        return F.struct(kind.alias("entity_type"), m["value"].alias("value"), number.cast("double").alias("normalized_number"), ts.cast("timestamp_ntz").alias("normalized_ts"), near.alias("context"), F.lit(sure).alias("confidence"))
+@cache
+def _pattern(pattern: str, unicode: bool = False) -> re.Pattern:
+    return re.compile(pattern, re.IGNORECASE if unicode else re.IGNORECASE | re.ASCII)
 
-    return F.transform(spans(text, pattern, needs), entity)
 
-
-def currencies(text: Column) -> Column:
-    out = []
+def _currencies(text: str, low: str) -> Iterator[tuple]:
     for code, patterns in CURRENCY_PATTERNS.items():
         for p, needs in zip(patterns, CURRENCY_NEEDS[code], strict=True):
-            pattern = f"(?i){p}"
+            if any(n in low for n in needs):
+                for m in _pattern(p).finditer(text):
+                    number, factor = _number(m[1]), _factor(m[0])
+                    yield f"currency_{code}", m[0], number * factor if number and factor else number, None, _context(text, *m.span()), 0.9
 
-            def make(m, near, code=code, pattern=pattern):
-                number, factor = to_number(F.regexp_extract(m["value"], pattern, 1)), multiplier(m["value"])
-                number = F.when(factor.isNotNull() & (number != 0), number * factor).otherwise(number)
-                return F.lit(f"currency_{code}"), number, F.lit(None), 0.9
 
-            out.append(_entities(text, pattern, make, needs))
-    return F.concat(*out)
+def _percentages(text: str, low: str) -> Iterator[tuple]:
+    if "%" in text:
+        for m in _pattern(PERCENTAGE).finditer(text):
+            near = _context(text, *m.span())
+            words = near.lower()
+            kind = next((k for k, marks in PERCENTAGE_KINDS if any(w in words for w in marks)), "other")
+            yield f"percentage_{kind}", m[0], _number(m[1]), None, near, 0.95
 
 
-def percentages(text: Column) -> Column:
-    return _entities(text, PERCENTAGE, lambda m, near: (F.concat(F.lit("percentage_"), percentage_kind(near)), to_number(F.regexp_extract(m["value"], PERCENTAGE, 1)), F.lit(None), 0.95), ("%",))
-
+def _date(m: re.Match, order: str) -> datetime.datetime | None:
+    part = dict(zip(order, m.groups(), strict=True))
+    month = part["m"] if part["m"].isdigit() else MONTHS.lower().split("|").index(part["m"].lower()) + 1
+    try:
+        return datetime.datetime(int(part["y"]), int(month), int(part["d"]))
+    except ValueError:
+        return None
 
-def dates(text: Column, fix_dates: bool = False) -> Column:
-    """Dates and fiscal periods; of numeric dates only the text is known unless fix_dates."""
-    out = []
-    for i, (p, form) in enumerate(DATE_PATTERNS):
-        pattern, form = f"(?i){p}", form or (NUMERIC_DATES.get(i) if fix_dates else None)
 
-        def make(m, near, pattern=pattern, form=form):
-            if form is None:
-                return F.lit("date"), F.lit(None), F.lit(None), 0.85
-            parts = [F.initcap(F.regexp_extract(m["value"], pattern, g)) for g in (1, 2, 3)]
-            return F.lit("date"), F.lit(None), F.try_to_timestamp(F.concat_ws(" ", *parts), F.lit(form)), 0.85
+def _dates(text: str, low: str, fix_dates: bool) -> Iterator[tuple]:
+    for i, (p, order) in enumerate(DATE_PATTERNS):
+        order = order or (NUMERIC_DATES.get(i) if fix_dates else None)
+        for m in _pattern(p).finditer(text):
+            yield "date", m[0], None, _date(m, order) if order else None, _context(text, *m.span()), 0.85
 
-        out.append(_entities(text, pattern, make))
-    return F.concat(*out)
 
-
-def metrics(text: Column) -> Column:
-    out = []
+def _metrics(text: str, low: str) -> Iterator[tuple]:
     for kind, words in METRICS.items():
         for word in words:
+            if word in low:
+                for m in _pattern(rf"\b{re.escape(word)}\b", unicode=True).finditer(text):
+                    near = _pattern(NEAR_NUMBER).search(text[m.end() : m.end() + NUMBER_CHARS])
+                    yield f"metric_{kind}", m[0], _number(near[1]) if near else None, None, _context(text, *m.span()), 0.8
+
 
-            def make(m, near, kind=kind):
-                after = F.substring(text, m["start"] + F.length(m["value"]) + 1, F.lit(NUMBER_CHARS))
-                return F.lit(f"metric_{kind}"), to_number(F.regexp_extract(after, NEAR_NUMBER, 1)), F.lit(None), 0.8
+def _found(text: Column, finders: list[Finder]) -> Column:
+    """All that the finders give for each text, in their order; a null text has nothing."""
 
-            out.append(_entities(text, rf"(?iU)\b\Q{word}\E\b", make, (word,)))
-    return F.concat(*out)
+    def find(texts: pa.Array) -> pa.Array:
+        offsets, rows = [0], []
+        for t in texts.to_pylist():
+            if t:
+                low = t.lower()
+                for f in finders:
+                    rows.extend(f(t, low))
+            offsets.append(len(rows))
+        fields = [pa.array([r[i] for r in rows], kind) for i, (_, kind) in enumerate(_FIELDS)]
+        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays(fields, names=[n for n, _ in _FIELDS]))
+
+    find.__annotations__ = {"texts": pa.Array, "return": pa.Array}
+    return F.arrow_udf(find, f"array<{ENTITY}>")(text)
+
+
+def currencies(text: Column) -> Column:
+    return _found(text, [_currencies])
+
+
+def percentages(text: Column) -> Column:
+    return _found(text, [_percentages])
+
+
+def dates(text: Column, fix_dates: bool = False) -> Column:
+    """Dates and fiscal periods; of numeric dates only the text is known unless fix_dates."""
+    return _found(text, [partial(_dates, fix_dates=fix_dates)])
+
+
+def metrics(text: Column) -> Column:
+    return _found(text, [_metrics])
 
 
 def entities(text: Column, currency: bool = True, percentage: bool = True, date: bool = True, metric: bool = True, fix_dates: bool = False) -> Column:
     """All entities: amounts, percentages, dates, metrics, in this order."""
-    t = F.coalesce(text, F.lit(""))
-    parts = [f for on, f in ((currency, lambda: currencies(t)), (percentage, lambda: percentages(t)), (date, lambda: dates(t, fix_dates)), (metric, lambda: metrics(t))) if on]
-    return F.concat(*[p() for p in parts]) if parts else F.array().cast(f"array<{ENTITY}>")
+    parts = ((currency, _currencies), (percentage, _percentages), (date, partial(_dates, fix_dates=fix_dates)), (metric, _metrics))
+    return _found(text, [f for on, f in parts if on])

@@ -51,3 +51,19 @@ def test_order_flags_and_empty(spark):
 @pytest.mark.parametrize(("raw", "want"), [("1,234.5", 1234.5), ("(5)", -5.0), (",", None), ("", None)])
 def test_numbers(spark, raw, want):
     assert spark.createDataFrame([(raw,)], "x string").select(fi.to_number(F.col("x")).alias("y")).first().y == want
+
+
+def test_many_matches_in_one_text_take_linear_time(spark):
+    import time
+
+    began = time.monotonic()
+    assert len(found(spark, "growth of 5% and $3 million in Q1 2020; " * 8000, fi.entities)) == 8000 * 4
+    assert time.monotonic() - began < 15
+
+
+def test_contexts_equal_the_plain_rule(spark):
+    text = "\u3000 " + "a" * 70 + " 5% " + "b" * 48 + "  c"
+    (r,) = found(spark, text, fi.percentages)
+    start, end = text.index("5%"), text.index("5%") + 2
+    assert r.context == "..." + text[start - 50 : end + 50].strip() + "..."
+    assert found(spark, " 5% ", fi.percentages)[0].context == "5%"
