@@ -69,15 +69,17 @@ def _csv_summaries(table_rows: DataFrame) -> DataFrame:
 
 
 def ingest(catalog: Catalog, scanned: DataFrame, config: IngestConfig | None = None) -> DataFrame:
-    """Append scanned files to a catalog and return this batch's log.  A document that is there already is replaced."""
+    """Append scanned files to a catalog and return this batch's log.  A document that is there already is replaced.
+
+    All of it is seen at once, when the batch is committed, or never: after a failure just ingest again.
+    """
     c = config or IngestConfig()
-    batch = catalog.next_batch()
+    batch = catalog.claim_batch()
     parsed = files.parse(scanned)
-    stage = f"{catalog.path}/staging/{batch}"
-    parsed.write.mode("overwrite").parquet(stage)  # files are parsed once for all tables
-    made = process(catalog.spark.read.schema(parsed.schema).parquet(stage), c)
-    known = made["documents"].select("document_id").join(catalog.table("documents").select("document_id"), "document_id", "left_semi").distinct()
-    catalog.append("tombstones", known, batch - 1)
+    stage = f"staging/{batch}"
+    parsed.write.mode("overwrite").parquet(f"{catalog.path}/{stage}")  # files are parsed once for all tables
+    made = process(catalog.spark.read.schema(parsed.schema).parquet(f"{catalog.path}/{stage}"), c)
+    catalog.append("tombstones", made["documents"].select("document_id").distinct(), batch)  # hides earlier batches only
     catalog.append("chunks", made["chunks"], batch)
     mine = catalog.raw("chunks").where(F.col("batch") == batch)
     embedded = vectors.embed_chunks(mine.select("chunk_id", "content").dropDuplicates(["chunk_id"]), dimensions=c.dimensions, encode=c.encode).join(mine.select("chunk_id", "document_id").distinct(), "chunk_id")
@@ -85,4 +87,6 @@ def ingest(catalog: Catalog, scanned: DataFrame, config: IngestConfig | None = N
     catalog.append("entities", made["entities"], batch)
     catalog.append("documents", made["documents"], batch)
     catalog.append("ingest_log", made["log"], batch)
+    catalog.commit(batch)
+    catalog.remove(stage)
     return catalog.raw("ingest_log").where(F.col("batch") == batch)

@@ -1,8 +1,10 @@
 """The stored corpus: documents, chunks, vectors and postings as Parquet tables under one folder.
 
-Everything is appended under a batch number; deleting a document appends a tombstone that hides the
-document's rows of earlier batches, so nothing is re-embedded or rewritten, readers are never disturbed,
-and a document that comes again is seen again.  compact() writes the visible rows as a new generation.
+Everything is appended under a batch number of its writer's own, and is seen once the batch is committed,
+by one row in `commits` that is written last: what a writer that failed has left is never seen, and a retry
+takes a new number.  Deleting a document appends a tombstone that hides the document's rows of earlier
+batches, so nothing is re-embedded or rewritten, readers are never disturbed, and a document that comes
+again is seen again.  compact() writes the visible rows as a new generation.
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ SCHEMAS = {
     "entities": "document_id string, entity_type string, value string, normalized_number double, normalized_ts timestamp_ntz, context string, confidence double, batch long",
     "ingest_log": "path string, document_id string, success boolean, error string, batch long",
     "tombstones": "document_id string, batch long",
+    "commits": "batch long",
 }
 
 
@@ -27,21 +30,40 @@ class Catalog:
     def _at(self, name: str) -> str:
         return f"{self.path}/{name}"
 
+    def _path(self, name: str):
+        """A Hadoop path below the catalog, and its file system."""
+        at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self._at(name))
+        return at, at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
     def raw(self, name: str) -> DataFrame:
-        jvm = self.spark.sparkContext._jvm
-        at = jvm.org.apache.hadoop.fs.Path(self._at(name))
-        if not at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+        at, fs = self._path(name)
+        if not fs.exists(at):
             return self.spark.createDataFrame([], SCHEMAS[name])
         return self.spark.read.schema(SCHEMAS[name]).parquet(self._at(name))
 
-    def table(self, name: str) -> DataFrame:
-        """Rows that no later tombstone hides."""
-        gone = self.raw("tombstones").groupBy("document_id").agg(F.max("batch").alias("gone"))
-        return self.raw(name).join(gone, "document_id", "left").where(F.col("gone").isNull() | (F.col("batch") > F.col("gone"))).drop("gone")
+    def committed(self, name: str) -> DataFrame:
+        return self.raw(name).join(self.raw("commits").distinct(), "batch", "left_semi").select(*[f.split()[0] for f in _fields(SCHEMAS[name])])
 
-    def next_batch(self) -> int:
-        n = [self.raw(name).agg(F.max("batch")).first()[0] or 0 for name in ("ingest_log", "tombstones", "documents")]
-        return max(n) + 1
+    def table(self, name: str) -> DataFrame:
+        """Committed rows that no later tombstone hides."""
+        gone = self.committed("tombstones").groupBy("document_id").agg(F.max("batch").alias("gone"))
+        return self.committed(name).join(gone, "document_id", "left").where(F.col("gone").isNull() | (F.col("batch") >= F.col("gone"))).drop("gone")
+
+    def claim_batch(self) -> int:
+        """A number above all that were claimed, by a file that only one writer can create."""
+        folder, fs = self._path("claims")
+        fs.mkdirs(folder)
+        batch = max([0, *(int(s.getPath().getName()) for s in fs.listStatus(folder))]) + 1
+        while not fs.createNewFile(self._path(f"claims/{batch}")[0]):
+            batch += 1
+        return batch
+
+    def commit(self, batch: int) -> None:
+        self.spark.createDataFrame([(batch,)], SCHEMAS["commits"]).coalesce(1).write.mode("append").parquet(self._at("commits"))
+
+    def remove(self, name: str) -> None:
+        at, fs = self._path(name)
+        fs.delete(at, True)
 
     def append(self, name: str, rows: DataFrame, batch: int) -> None:
         rows.withColumn("batch", F.lit(batch).cast("long")).select(*[f.split()[0] for f in _fields(SCHEMAS[name])]).write.mode("append").parquet(self._at(name))
@@ -50,7 +72,9 @@ class Catalog:
         """Whether there was such a document."""
         found = not self.table("documents").where(F.col("document_id") == document_id).isEmpty()
         if found:
-            self.append("tombstones", self.spark.createDataFrame([(document_id,)], "document_id string"), self.next_batch())
+            batch = self.claim_batch()
+            self.append("tombstones", self.spark.createDataFrame([(document_id,)], "document_id string"), batch)
+            self.commit(batch)
         return found
 
     def clear(self) -> None:
@@ -62,7 +86,13 @@ class Catalog:
         out = Catalog(self.spark, path)
         for name in ("documents", "chunks", "embeddings", "entities"):
             self.table(name).write.mode("overwrite").parquet(out._at(name))
-        self.raw("ingest_log").write.mode("overwrite").parquet(out._at("ingest_log"))
+        for name in ("ingest_log", "commits"):
+            self.raw(name).write.mode("overwrite").parquet(out._at(name))
+        newest = self.raw("commits").agg(F.max("batch")).first()[0]
+        if newest:  # numbers go on from here
+            at, fs = out._path(f"claims/{newest}")
+            fs.mkdirs(at.getParent())
+            fs.createNewFile(at)
         return out
 
     def document(self, document_id: str) -> dict | None:

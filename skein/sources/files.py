@@ -44,17 +44,26 @@ def mime_matches(content: Column, kind: Column) -> Column:
 
 
 def scan(spark: SparkSession, path: str, recursive: bool = True, extensions: tuple[str, ...] | None = None, stream: bool = False, max_bytes: int = MAX_BYTES, max_files: int = 1000) -> DataFrame:
-    """Files of a folder (or one file): path, filename, file_type, size, modified, content, error.  Contents that fail validation are not read on."""
-    reader = (spark.readStream if stream else spark.read).format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
-    if stream:
-        reader = reader.schema("path string, modificationTime timestamp, length long, content binary").option("maxFilesPerTrigger", max_files)
-    files = reader.load(path)
-    if extensions:
-        files = files.where(extension(F.col("path")).isin([e.lower().lstrip(".") for e in extensions]))
-    kind = file_type(F.col("path"))
-    error = F.when(kind.isNull(), F.concat(F.lit("Unsupported file type: "), extension(F.col("path")))).when(F.col("length") > max_bytes, F.concat(F.lit("File is larger than "), F.lit(max_bytes).cast("string"), F.lit(" bytes")))
-    error = F.coalesce(error, F.when(~mime_matches(F.col("content"), kind), F.concat(F.lit("Content is not of type "), kind)))
-    return files.select("path", F.regexp_extract("path", r"([^/]+)$", 1).alias("filename"), kind.alias("file_type"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"), F.when(error.isNull(), F.col("content")).alias("content"), F.sha2("content", 256).alias("sha256"), error.alias("error"))
+    """Files of a folder (or one file): path, filename, file_type, size, modified, content, error.  Files of another type or too large are not opened; they have neither content nor sha256."""
+    def files(content: bool) -> DataFrame:
+        reader = (spark.readStream if stream else spark.read).format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
+        if stream:
+            reader = reader.schema("path string, modificationTime timestamp, length long, content binary").option("maxFilesPerTrigger", max_files)
+        found = reader.load(path)
+        if extensions:
+            found = found.where(extension(F.col("path")).isin([e.lower().lstrip(".") for e in extensions]))
+        kind, name = file_type(F.col("path")), F.regexp_extract("path", r"([^/]+)$", 1)
+        known = ["path", name.alias("filename"), kind.alias("file_type"), F.col("length").alias("size"), F.col("modificationTime").alias("modified")]
+        fits = kind.isNotNull() & (F.col("length") <= max_bytes)
+        if content:
+            wrong = F.when(~mime_matches(F.col("content"), kind), F.concat(F.lit("Content is not of type "), kind))
+            return found.where(fits).select(*known, F.when(wrong.isNull(), F.col("content")).alias("content"), F.sha2("content", 256).alias("sha256"), wrong.alias("error"))
+        # the filter on length reaches the reader, and no content is asked for: these files are not opened
+        large = F.concat(F.lit("File is larger than "), F.lit(max_bytes).cast("string"), F.lit(" bytes"))
+        error = F.when(kind.isNull(), F.concat(F.lit("Unsupported file type: "), extension(F.col("path")))).otherwise(large)
+        return found.where(~fits).select(*known, F.lit(None).cast("binary").alias("content"), F.lit(None).cast("string").alias("sha256"), error.alias("error"))
+
+    return files(True).unionByName(files(False))
 
 
 def document_id(filename: Column, sha256: Column) -> Column:

@@ -193,3 +193,38 @@ def test_evaluation(spark, engine, tmp_path):
 def test_errors():
     e = errors.FileSizeExceededError("too large", size=5)
     assert e.to_dict() == {"error_code": "FILE_SIZE_EXCEEDED", "message": "too large", "details": {"size": 5}} and issubclass(errors.RateLimitError, errors.GenerationError)
+
+
+def test_a_failed_ingest_is_never_seen_and_a_retry_is_whole(spark, folder, tmp_path, monkeypatch):
+    from skein.sources.catalog import Catalog
+
+    e = Engine(spark, f"file://{tmp_path}/c")
+    e.ingest(f"file://{folder}/report.txt")
+    before = (e.stats(), sorted(r.chunk_id for r in e.catalog.table("chunks").collect()))
+    append = Catalog.append
+
+    def fails(self, name, rows, batch):
+        if name == "documents":
+            raise OSError("lost")
+        append(self, name, rows, batch)
+
+    monkeypatch.setattr(Catalog, "append", fails)
+    with pytest.raises(OSError):
+        e.ingest(f"file://{folder}")
+    assert (e.stats(), sorted(r.chunk_id for r in e.catalog.table("chunks").collect())) == before
+    monkeypatch.undo()
+    for _ in range(2):  # again, and once more over what is there
+        e.ingest(f"file://{folder}")
+        ids = [r.chunk_id for r in e.catalog.table("chunks").collect()]
+        assert e.stats()["total_documents"] == 4 and len(ids) == len(set(ids)) == e.stats()["total_chunks"]
+    staged = tmp_path / "c/staging"
+    assert len(list(staged.iterdir())) == 1  # of the attempt that failed
+
+
+def test_large_and_unknown_files_are_not_opened(spark, tmp_path):
+    (tmp_path / "big.txt").write_text("x" * 2000)
+    (tmp_path / "small.txt").write_text("y")
+    (tmp_path / "odd.bin").write_bytes(b"?")
+    rows = {r.filename: r for r in files.scan(spark, f"file://{tmp_path}", max_bytes=1000).collect()}
+    assert rows["small.txt"].content == b"y" and rows["small.txt"].error is None
+    assert rows["big.txt"].content is None and "larger than 1000" in rows["big.txt"].error and rows["odd.bin"].error == "Unsupported file type: bin"
