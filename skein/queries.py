@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import io
+import tempfile
+import uuid
+import zipfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -11,6 +15,7 @@ from skein.functions import finance, scoring, text, understanding
 from skein.operators import bm25, chunking, hybrid, tables, vectors
 from skein.plans import answering, evaluation
 from skein.sources import files
+from skein.sources.catalog import Catalog
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -622,3 +627,183 @@ def catalog_stats(spark, sf):
 def catalog_delete(spark, sf):
     gone = table(spark, sf, "labels").where("quality = 0").select("doc_id")
     return table(spark, sf, "documents").select("doc_id").join(gone, "doc_id", "left_anti")
+
+
+# -- verbs on stored things, in a folder of their own
+
+
+def _scratch(spark: SparkSession, tag: str) -> str:
+    """A new folder where driver and executors share one; it goes when the driver ends."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}"
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{base.rstrip('/')}/skein-{tag}-{uuid.uuid4().hex}")
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return at.toString()
+
+
+_KEPT = "SELECT * FROM documents WHERE doc_id NOT IN (3, 5, 7)"
+
+
+@query(f"SELECT count(*) AS total_documents, CAST(sum(doc_id % 3) AS BIGINT) AS total_tables, CAST(sum(n_chars) AS BIGINT) AS total_size, (SELECT count(*) FROM ({_KEPT})) AS total_chunks, (SELECT string_agg(source || '=' || n, ',' ORDER BY source) FROM (SELECT source, count(*) AS n FROM ({_KEPT}) GROUP BY source)) AS chunk_types FROM ({_KEPT})")
+def catalog_verbs(spark, sf):
+    """Append all documents, delete three and one that isn't there, leave a batch uncommitted, and ask for the statistics."""
+    catalog, docs = Catalog(spark, _scratch(spark, "catalog")), table(spark, sf, "documents")
+    batch, ident = catalog.claim_batch(), F.col("doc_id").cast("string")
+    none, no_map = F.lit(None), F.create_map().cast("map<string,string>")
+    rows = docs.select(ident.alias("document_id"), ident.alias("filename"), F.lit("txt").alias("file_type"), F.col("n_chars").alias("size"), none.cast("timestamp").alias("uploaded"), none.cast("int").alias("page_count"), F.lit(1).cast("long").alias("chunk_count"), (F.col("doc_id") % 3).cast("int").alias("table_count"), no_map.alias("metadata"))
+    chunks = docs.select(ident.alias("chunk_id"), ident.alias("document_id"), F.lit(0).alias("chunk_seq"), F.col("text").alias("content"), F.col("source").alias("chunk_type"), none.cast("int").alias("page_number"), no_map.alias("metadata"))
+    catalog.append("documents", rows, batch)
+    catalog.append("chunks", chunks, batch)
+    catalog.commit(batch)
+    gone = [catalog.delete_document(i) for i in ("3", "5", "7", "none")]
+    if gone != [True, True, True, False] or catalog.document("5") is not None or catalog.document("4") is None:
+        raise AssertionError("deletes do not hold")
+    catalog.append("chunks", chunks, catalog.claim_batch())  # as of a writer that failed
+    kinds = F.array_join(F.transform(F.map_entries("chunk_types"), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string"))), ",")
+    return catalog.stats().select("total_documents", F.col("total_tables").cast("long").alias("total_tables"), "total_size", "total_chunks", kinds.alias("chunk_types"))
+
+
+def _word_file() -> bytes:
+    w = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
+    p = lambda t: f"<w:p><w:r><w:t>{t}</w:t></w:r></w:p>"
+    row = lambda *cells: "<w:tr>" + "".join(f"<w:tc>{p(c)}</w:tc>" for c in cells) + "</w:tr>"
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("word/document.xml", f"<w:document {w}><w:body>{p('A memo.')}<w:tbl>{row('Name', 'Sum')}{row('rent', '40')}</w:tbl></w:body></w:document>")
+    return out.getvalue()
+
+
+def _sheet_file() -> bytes:
+    s, r = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"', "http://schemas.openxmlformats.org"
+    cell = lambda at, v: f'<c r="{at}" t="inlineStr"><is><t>{v}</t></is></c>'
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("xl/workbook.xml", f'<workbook {s} xmlns:r="{r}/officeDocument/2006/relationships"><sheets><sheet name="Data" r:id="rId1"/></sheets></workbook>')
+        z.writestr("xl/_rels/workbook.xml.rels", f'<Relationships xmlns="{r}/package/2006/relationships"><Relationship Id="rId1" Target="worksheets/sheet1.xml"/></Relationships>')
+        z.writestr("xl/worksheets/sheet1.xml", f"<worksheet {s}><sheetData><row>{cell('A1', 'Item')}{cell('B1', 'Value')}</row><row>{cell('A2', 'x')}<c r=\"B2\"><v>7.5</v></c></row></sheetData></worksheet>")
+    return out.getvalue()
+
+
+def _company_csv(sep: str) -> bytes:
+    return "\n".join(sep.join(r) for r in (("Company", "Revenue", "Profit"), ("A", "1000000", "100000"), ("B", "2500000", "350000"), ("C", "1800000", "220000"))).encode()
+
+
+_FILES = {"commas.csv": _company_csv(","), "semicolons.csv": _company_csv(";"), "note.txt": "Net profit\nrose 5%".encode(), "memo.docx": _word_file(), "book.xlsx": _sheet_file(), "bad.xlsx": b"no zip at all", "odd.bin": b"?"}
+_PARSED = [
+    ("commas.csv", "csv", 0, 1, "Company|Revenue|Profit", "A|1000000|100000", 3, None), ("semicolons.csv", "csv", 0, 1, "Company|Revenue|Profit", "A|1000000|100000", 3, None), ("note.txt", "txt", 1, 0, None, None, None, None),
+    ("memo.docx", "docx", 1, 1, "Name|Sum", "rent|40", 1, None), ("book.xlsx", "xlsx", 0, 1, "Item|Value", "x|7.5", 1, None), ("bad.xlsx", "xlsx", 0, 0, None, None, None, "Content is not of type xlsx"), ("odd.bin", None, 0, 0, None, None, None, "Unsupported file type: bin"),
+]
+
+
+@query(f"SELECT filename, file_type, CAST(pages AS INT) AS pages, CAST(tables AS INT) AS tables, headers, first_row, CAST(n_rows AS INT) AS n_rows, error FROM ({_values(_PARSED, 'filename, file_type, pages, tables, headers, first_row, n_rows, error')})")
+def files_parsed(spark, sf):
+    """A folder with a file of each kind, one that is not what it says and one of no kind: scanned and parsed."""
+    folder = _scratch(spark, "files")
+    context = spark.sparkContext
+    for name, content in _FILES.items():
+        at = context._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
+        out = at.getFileSystem(context._jsc.hadoopConfiguration()).create(at)
+        out.write(bytearray(content))
+        out.close()
+    parsed = files.parse(files.scan(spark, folder))
+    first = F.try_element_at("tables", F.lit(1))
+    return parsed.select("filename", "file_type", F.size("pages").alias("pages"), F.size("tables").alias("tables"), F.array_join(first["headers"], "|").alias("headers"), F.array_join(F.try_element_at(first["rows"], F.lit(1)), "|").alias("first_row"), F.when(first.isNotNull(), F.size(first["rows"])).alias("n_rows"), "error")
+
+
+# -- metrics that the other queries leave out
+
+
+_GRAMS = lambda c, k: f"list_transform(range(1, len({c}) - {k - 2}), lambda i: array_to_string({c}[i:i + {k - 1}], ' '))"
+_HITS = ", ".join(f"{_CLIP.format(_GRAMS('g', k), _GRAMS('e', k))} AS h{k}" for k in (1, 2, 3, 4))
+_LOGS = " + ".join(f"ln(h{k} / (len(g) - {k - 1}))" for k in (1, 2, 3, 4))
+
+
+@query(
+    f"""{_PAIRS}, h AS (SELECT conv_id, turn, g, e, {_HITS} FROM pairs)
+    SELECT conv_id, turn, round(CASE WHEN h1 > 0 AND h2 > 0 AND h3 > 0 AND h4 > 0 THEN CASE WHEN len(g) >= len(e) THEN 1 ELSE exp(1 - len(e) / len(g)) END * exp(({_LOGS}) / 4) ELSE 0 END, 6) AS bleu,
+    round(CASE WHEN h2 > 0 THEN 2.0 * h2 / ((len(g) - 1) + (len(e) - 1)) ELSE 0 END, 6) AS rouge_2 FROM h"""
+)
+def metrics_ngrams(spark, sf):
+    g, e = F.col("generated"), F.col("expected")
+    return answer_pairs(spark, sf).select("conv_id", "turn", F.round(scoring.bleu(g, e), 6).alias("bleu"), F.round(scoring.rouge(g, e, 2), 6).alias("rouge_2"))
+
+
+@query(
+    f"""{_PAIRS}, k AS (SELECT *, {_KEYS('e', scoring.EXPECTED_STOP)} AS ke FROM pairs)
+    SELECT conv_id, turn, round(((len(list_intersect(e, g)) > 3)::INT + (len(list_distinct(g)) > 3)::INT) / 2, 6) AS context_precision, round(CASE WHEN len(ke) = 0 THEN 1 ELSE len(list_intersect(ke, g)) / len(ke) END, 6) AS context_recall,
+    round((len(list_intersect(e, g)) + 100 - len(list_distinct(g || e))) / 100, 6) AS accuracy FROM k"""
+)
+def metrics_context(spark, sf):
+    g, e = F.col("generated"), F.col("expected")
+    return answer_pairs(spark, sf).select(
+        "conv_id", "turn", F.round(scoring.context_precision(F.array(e, g), g), 6).alias("context_precision"), F.round(scoring.context_recall(F.array(g), e), 6).alias("context_recall"),
+        F.round(scoring.accuracy(F.array_distinct(text.tokens(g)), F.array_distinct(text.tokens(e))), 6).alias("accuracy"),
+    )
+
+
+@query(
+    f"""WITH t AS (SELECT conv_id, list(lower(text)) AS chunks, list_distinct(list_filter({TOK.format("string_agg(text, ' ') FILTER (turn <= 1)")}, lambda w: length(w) > 5)) AS kw FROM conversations GROUP BY conv_id),
+    h AS (SELECT *, len(list_filter(chunks, lambda c: len(list_filter(kw, lambda w: contains(c, w))) >= 0.3 * len(kw))) AS hits FROM t WHERE len(kw) > 0), p AS (SELECT conv_id, hits / len(chunks) AS p, least(hits / len(kw), 1) AS r FROM h)
+    SELECT conv_id, round(p, 6) AS precision, round(r, 6) AS recall, round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END, 6) AS f1_score FROM p"""
+)
+def metrics_keywords(spark, sf):
+    """A conversation's turns as chunks, the long words of its first turns as keywords."""
+    c = table(spark, sf, "conversations").groupBy("conv_id").agg(F.collect_list("text").alias("chunks"), F.array_join(F.collect_list(F.when(F.col("turn") <= 1, F.col("text"))), " ").alias("first"))
+    c = c.withColumn("kw", F.array_distinct(F.filter(text.tokens(F.col("first")), lambda w: F.length(w) > 5))).where("size(kw) > 0")
+    c = c.select("conv_id", scoring.keyword_retrieval(F.col("chunks"), F.col("kw")).alias("m"))
+    return c.select("conv_id", *[F.round(f"m.{x}", 6).alias(x) for x in ("precision", "recall", "f1_score")])
+
+
+# -- fixtures with results that are worked out by hand
+
+_SENTENCE = "This is a test sentence. "
+_FOUR = (_SENTENCE * 4).strip().rstrip(".")
+_FINANCIAL = "The company reported revenue growth of 10% this year. " * 10
+_FIXTURES = [("sentences", _SENTENCE * 20), ("empty", ""), ("short", "Short"), ("financial", _FINANCIAL), ("capitals", "REVENUE ANALYSIS:\n" + "Sales of goods went up in every region of the country. " * 3 + "\nEXPENSE BREAKDOWN:\n" + "Rents and wages went up as well in all of the offices. " * 3)]
+_CHUNKS = [("sentences", i, len(_FOUR), "text") for i in range(5)]
+
+
+@query(f"SELECT fixture, CAST(seq AS INT) AS seq, CAST(chars AS INT) AS chars, kind FROM ({_values(_CHUNKS, 'fixture, seq, chars, kind')})")
+def chunk_fixtures_recursive(spark, sf):
+    """20 sentences in pieces of at most 100 characters: five of four sentences, as no sentence fits the overlap; too short a text has none."""
+    made = chunking.create_chunks(_local(spark, _FIXTURES[:3], "fixture string, text string"), "recursive", chunking.ChunkingConfig(100, 20, 10), id_col="fixture")
+    return made.select(F.col("document_id").alias("fixture"), F.col("chunk_seq").alias("seq"), F.length("content").alias("chars"), F.col("chunk_type").alias("kind"))
+
+
+_SECTIONS = [("financial", 0, "The company reported", "financial_data"), ("capitals", 0, "REVENUE ANALYSIS:\nSa", "financial_data"), ("capitals", 1, "EXPENSE BREAKDOWN:\nR", "financial_data")]
+
+
+@query(f"SELECT fixture, CAST(seq AS INT) AS seq, opening, kind FROM ({_values(_SECTIONS, 'fixture, seq, opening, kind')})")
+def chunk_fixtures_sections(spark, sf):
+    """Headers in capitals open sections, and words of finance give a chunk its type."""
+    made = chunking.create_chunks(_local(spark, _FIXTURES[3:], "fixture string, text string"), "financial", id_col="fixture")
+    return made.select(F.col("document_id").alias("fixture"), F.col("chunk_seq").alias("seq"), F.substring("content", 1, 20).alias("opening"), F.col("chunk_type").alias("kind"))
+
+
+_FAR = "." * 60
+_PROSE = f"Sales growth of 5%{_FAR} gross margin 7.5 %{_FAR} a rate of -3%{_FAR} market 1,000%"
+_KINDS = [("percentage_growth", "5%", 5.0, "Sales growth of 5%" + "." * 50 + "..."), ("percentage_margin", "7.5 %", 7.5, "..." + "." * 36 + " gross margin 7.5 %" + "." * 50 + "..."),
+          ("percentage_rate", "-3%", -3.0, "..." + "." * 39 + " a rate of -3%" + "." * 50 + "..."), ("percentage_share", "1,000%", 1000.0, "..." + "." * 42 + " market 1,000%"),
+          ("metric_revenue", "Sales", 5.0, "Sales growth of 5%" + "." * 37 + "..."), ("metric_margin", "margin", 7.5, "..." + "." * 43 + " gross margin 7.5 %" + "." * 44 + "..."),
+          ("metric_margin", "gross margin", 7.5, "..." + "." * 49 + " gross margin 7.5 %" + "." * 44 + "..."), ("metric_growth", "growth", 5.0, "Sales growth of 5%" + "." * 44 + "...")]
+
+
+@query(f"SELECT entity_type, value, CAST(normalized_number AS DOUBLE) AS normalized_number, context FROM ({_values(_KINDS, 'entity_type, value, normalized_number, context')})")
+def entities_contexts(spark, sf):
+    """Kinds of percentages, numbers near metrics, and 50 characters of context on both sides."""
+    found = _local(spark, [(_PROSE,)], "text string").select(F.inline(finance.entities(F.col("text"))))
+    return found.select("entity_type", "value", "normalized_number", "context")
+
+
+_RAW = [
+    ("plain", [" Name ", "Total  Sum", "*Note*"], [["a", " 1 ", "N/A"], ["b", "2"], ["c", "3", "x", "beyond"]]),
+    ("promoted", ["1", "2", "3"], [["Year", "Revenue", "Profit"], ["2023", "5", "-"]]),
+    ("blank", ["", " "], [["a", "nan"], [None, "2"]]),
+]
+_NORMAL = [("plain", "Name|Total Sum|Note", "a|1|;b|2|;c|3|x"), ("promoted", "Year|Revenue|Profit", "2023|5|"), ("blank", "Column_1|Column_2", "a|;|2")]
+
+
+@query(_values(_NORMAL, "table_id, headers, cells"))
+def table_normalized(spark, sf):
+    """Headers cleaned, numbered or taken from the first row; cells that stand for nothing blank; rows as wide as the headers."""
+    raw = _local(spark, [(i, h, r, None, 0) for i, h, r in _RAW], tables.TABLE)
+    return tables.normalized(raw).select("table_id", F.array_join("headers", "|").alias("headers"), F.array_join(F.transform("rows", lambda r: F.array_join(r, "|")), ";").alias("cells"))
