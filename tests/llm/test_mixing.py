@@ -120,3 +120,11 @@ def test_query_on_the_smallest_tables(spark, sf):
         target[s] = r.target
     assert len(got) == len(docs) and target == pytest.approx({s: float(t) for s, t in brute_targets(sizes).items()})
     assert all(abs(taken[s] - target[s]) < 0.005 * target[s] + 2 for s in sizes)
+
+
+def test_values_of_columns_with_clashing_names_stay(spark):
+    from skein.llm.mixing import mixed_rows
+
+    docs = spark.createDataFrame([(1, "one two three", "a", 10, 20, 30, 40), (2, "four five", "b", 11, 21, 31, 41)], "doc_id long, text string, source string, `a.b` int, __size int, __h int, row int")
+    got = {tuple(r) for r in mixed_rows(docs).collect()}
+    assert got and got <= {tuple(r) for r in docs.collect()} and mixed_rows(docs).columns == docs.columns
