@@ -83,10 +83,13 @@ class Engine:
     # questions
 
     def corpus(self) -> answering.Corpus:
-        chunks = self.catalog.table("chunks").dropDuplicates(["chunk_id"])
-        embeddings = self.catalog.table("embeddings").dropDuplicates(["chunk_id"]).select("chunk_id", "embedding")
+        """What was stored at ingestion; nothing is fitted for a question."""
+        chunks = self.catalog.table("chunks")
+        embeddings = self.catalog.table("embeddings").select("chunk_id", "embedding")
         embed = lambda q: vectors.embed_chunks(q, "query_id", "query", self.config.dimensions, self.config.encode).withColumnRenamed("chunk_id", "query_id")
-        return answering.Corpus(chunks, embeddings, bm25.fit(chunks), embed)
+        corpus = self.catalog.table("lengths").agg(*bm25.corpus_row(F.coalesce(F.sum("chunks"), F.lit(0)), F.sum("words")))
+        index = bm25.Bm25Index(self.catalog.table("postings").select("chunk_id", "token", "tf", "dl"), corpus)
+        return answering.Corpus(chunks, embeddings, index, embed)
 
     def _asked(self, question: str, top_k: int) -> DataFrame:
         if not 1 <= len(question) <= MAX_QUESTION:

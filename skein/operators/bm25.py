@@ -1,62 +1,87 @@
-"""BM25: postings and document lengths as tables, search as a join on tokens.
+"""BM25: postings as a table, search as a join on tokens.
 
-Postings are hash-partitioned by token when they are written for many searches; a search touches only
-the query's tokens.  The query side is sent to all executors while it is small (it is checked), and joins
-by shuffle beyond.
+A posting carries the length of its chunk, so that a search reads the postings of the query's tokens and
+nothing else.  Stored postings are ordered by token (see ordered()), and the tokens of a small set of
+queries reach the scan as a filter; a larger set is sent to all executors while its checked count is small,
+and joins by shuffle beyond.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.functions.text import tokens
 
 K1, B = 1.5, 0.75
-BROADCAST_TOKENS = 500_000
+#: Tokens of a query set that become a filter of the scan, and that are sent to every executor.
+FILTER_TOKENS, BROADCAST_TOKENS = 1_000, 500_000
 
 
 @dataclass(frozen=True)
 class Bm25Index:
-    """postings(chunk_id, token, tf), lengths(chunk_id, dl), tokens(token, df), corpus(n, avgdl): one row."""
+    """postings(chunk_id, token, tf, dl) and corpus(n, avgdl): one row."""
 
     postings: DataFrame
-    lengths: DataFrame
-    tokens: DataFrame
     corpus: DataFrame
 
 
+def postings(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "content", keep: tuple[str, ...] = ()) -> DataFrame:
+    """chunk_id, keep, dl, token, tf: a row for each different token of a chunk."""
+    words = chunks.select(F.col(id_col).alias("chunk_id"), *keep, tokens(F.col(text_col)).alias("words"))
+    each = words.select("chunk_id", *keep, F.size("words").cast("long").alias("dl"), F.explode("words").alias("token"))
+    return each.groupBy("chunk_id", *keep, "dl", "token").agg(F.count("*").alias("tf"))
+
+
+def n_tokens(text: Column) -> Column:
+    return F.greatest(F.coalesce(F.size(tokens(text)), F.lit(0)), F.lit(0)).cast("long")
+
+
+def corpus_row(n: Column, total: Column) -> list[Column]:
+    return [n.alias("n"), (F.coalesce(total, F.lit(0)) / F.greatest(n, F.lit(1))).alias("avgdl")]
+
+
 def fit(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "content") -> Bm25Index:
-    """A pure function of the chunks: refitting never doubles anything."""
-    words = chunks.select(F.col(id_col).alias("chunk_id"), F.explode(tokens(F.col(text_col))).alias("token"))
-    postings = words.groupBy("chunk_id", "token").agg(F.count("*").alias("tf"))
-    # lengths come from the postings, not from the texts again; chunks without words have none, but count
-    lengths = postings.groupBy("chunk_id").agg(F.sum("tf").alias("dl"))
-    total = lengths.agg(F.coalesce(F.sum("dl"), F.lit(0)).alias("total"))
-    corpus = chunks.agg(F.count("*").alias("n")).crossJoin(F.broadcast(total))  # one row each
-    return Bm25Index(postings, lengths, postings.groupBy("token").agg(F.count("*").alias("df")), corpus.select("n", (F.col("total") / F.greatest(F.col("n"), F.lit(1))).alias("avgdl")))
+    """A pure function of the chunks: refitting never doubles anything.  Chunks without words have no postings, but count."""
+    corpus = chunks.agg(*corpus_row(F.count("*"), F.sum(n_tokens(F.col(text_col)))))
+    return Bm25Index(postings(chunks, id_col, text_col), corpus)
+
+
+def ordered(rows: DataFrame) -> DataFrame:
+    """Postings as they are stored: ranges of tokens, so that a scan skips row groups; a frequent token spans several."""
+    return rows.repartitionByRange("token", "chunk_id").sortWithinPartitions("token", "chunk_id")
 
 
 def save(index: Bm25Index, path: str) -> None:
-    for name in ("postings", "lengths", "tokens", "corpus"):
-        getattr(index, name).write.mode("overwrite").parquet(f"{path}/{name}")
+    ordered(index.postings).write.mode("overwrite").parquet(f"{path}/postings")
+    index.corpus.write.mode("overwrite").parquet(f"{path}/corpus")
 
 
 def load(spark, path: str) -> Bm25Index:
-    return Bm25Index(*(spark.read.parquet(f"{path}/{name}") for name in ("postings", "lengths", "tokens", "corpus")))
+    return Bm25Index(*(spark.read.parquet(f"{path}/{name}") for name in ("postings", "corpus")))
+
+
+def _asked_postings(index: Bm25Index, asked: DataFrame, small: bool) -> DataFrame:
+    """The postings of the asked tokens: few of them are a filter of the scan."""
+    words = asked.select("token").distinct()
+    few = [r.token for r in words.limit(FILTER_TOKENS + 1).collect()]
+    if len(few) <= FILTER_TOKENS:
+        return index.postings.where(F.col("token").isin(few))
+    return index.postings.join(F.broadcast(words) if small else words, "token", "left_semi")
 
 
 def search(index: Bm25Index, queries: DataFrame, k: int, query_id: str = "query_id", text_col: str = "query", k1: float = K1, b: float = B, among: DataFrame | None = None) -> DataFrame:
     """queries -> query_id, chunk_id, score, rank up to k.  A token that a query repeats counts as often.
 
-    among(chunk_id) restricts the results before ranks are given.
+    among(chunk_id) restricts the results before ranks are given; document frequencies are those of the whole index.
     """
     asked = queries.select(F.col(query_id).alias("query_id"), F.explode(tokens(F.col(text_col))).alias("token")).groupBy("query_id", "token").agg(F.count("*").alias("times"))
-    known = asked.join(index.tokens, "token")
     small = asked.limit(BROADCAST_TOKENS + 1).count() <= BROADCAST_TOKENS
-    hits = index.postings.join(F.broadcast(known) if small else known, "token").join(index.lengths, "chunk_id")
+    found = _asked_postings(index, asked, small)
+    known = asked.join(found.groupBy("token").agg(F.count("*").alias("df")), "token")
+    hits = found.join(F.broadcast(known) if small else known, "token")
     if among is not None:
         hits = hits.join(among.select("chunk_id").distinct(), "chunk_id", "left_semi")
     hits = hits.crossJoin(F.broadcast(index.corpus))  # one row

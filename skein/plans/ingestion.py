@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from skein.functions import finance
 from skein.functions.text import CleaningConfig, clean
+from skein.operators import bm25, vectors
 from skein.operators import tables as tb
-from skein.operators import vectors
 from skein.operators.chunking import ChunkingConfig, create_chunks
 from skein.sources import files
 from skein.sources.catalog import Catalog
@@ -80,10 +80,12 @@ def ingest(catalog: Catalog, scanned: DataFrame, config: IngestConfig | None = N
     parsed.write.mode("overwrite").parquet(f"{catalog.path}/{stage}")  # files are parsed once for all tables
     made = process(catalog.spark.read.schema(parsed.schema).parquet(f"{catalog.path}/{stage}"), c)
     catalog.append("tombstones", made["documents"].select("document_id").distinct(), batch)  # hides earlier batches only
-    catalog.append("chunks", made["chunks"], batch)
+    catalog.append("chunks", made["chunks"].dropDuplicates(["chunk_id"]), batch)  # a file may lie in a folder twice
     mine = catalog.raw("chunks").where(F.col("batch") == batch)
-    embedded = vectors.embed_chunks(mine.select("chunk_id", "content").dropDuplicates(["chunk_id"]), dimensions=c.dimensions, encode=c.encode).join(mine.select("chunk_id", "document_id").distinct(), "chunk_id")
+    embedded = vectors.embed_chunks(mine.select("chunk_id", "content"), dimensions=c.dimensions, encode=c.encode).join(mine.select("chunk_id", "document_id"), "chunk_id")
     catalog.append("embeddings", embedded.withColumn("embedding", F.col("embedding").cast("array<double>")), batch)
+    catalog.append("postings", bm25.ordered(bm25.postings(mine, keep=("document_id",))), batch)
+    catalog.append("lengths", mine.groupBy("document_id").agg(F.count("*").alias("chunks"), F.sum(bm25.n_tokens(F.col("content"))).alias("words")), batch)
     catalog.append("entities", made["entities"], batch)
     catalog.append("documents", made["documents"], batch)
     catalog.append("ingest_log", made["log"], batch)

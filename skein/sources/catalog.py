@@ -12,10 +12,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skein.operators.bm25 import ordered
+
 SCHEMAS = {
     "documents": "document_id string, filename string, file_type string, size long, uploaded timestamp, page_count int, chunk_count long, table_count int, metadata map<string,string>, batch long",
     "chunks": "chunk_id string, document_id string, chunk_seq int, content string, chunk_type string, page_number int, metadata map<string,string>, batch long",
     "embeddings": "chunk_id string, document_id string, embedding array<double>, batch long",
+    "postings": "chunk_id string, document_id string, token string, tf long, dl long, batch long",
+    "lengths": "document_id string, chunks long, words long, batch long",
     "entities": "document_id string, entity_type string, value string, normalized_number double, normalized_ts timestamp_ntz, context string, confidence double, batch long",
     "ingest_log": "path string, document_id string, success boolean, error string, batch long",
     "tombstones": "document_id string, batch long",
@@ -84,8 +88,9 @@ class Catalog:
     def compact(self, path: str) -> Catalog:
         """The visible rows as a catalog of their own in another folder."""
         out = Catalog(self.spark, path)
-        for name in ("documents", "chunks", "embeddings", "entities"):
+        for name in ("documents", "chunks", "embeddings", "lengths", "entities"):
             self.table(name).write.mode("overwrite").parquet(out._at(name))
+        ordered(self.table("postings")).write.mode("overwrite").parquet(out._at("postings"))
         for name in ("ingest_log", "commits"):
             self.raw(name).write.mode("overwrite").parquet(out._at(name))
         newest = self.raw("commits").agg(F.max("batch")).first()[0]

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import io
 import json
+import re
 import zipfile
 
 import pytest
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from skein import cli, errors
 from skein.engine import Engine
+from skein.operators import bm25
 from skein.plans import answering, evaluation
 from skein.plans.ingestion import IngestConfig
 from skein.sources import files
@@ -130,6 +132,26 @@ def test_upload_replace_delete_and_shell(engine):
     engine.delete(back["document_id"])
 
 
+def test_a_question_reads_stored_postings_of_its_tokens(spark, engine, tmp_path):
+    """Stored postings are those of the visible chunks, after deletes, replacements and compaction."""
+    up = engine.ingest_bytes("gone.txt", REPORT.replace("5.3", "8.8").encode())
+    engine.ingest_bytes("twice.txt", REPORT.replace("5.3", "7.7").encode())
+    engine.ingest_bytes("twice.txt", REPORT.replace("5.3", "7.7").encode())
+    engine.delete(up["document_id"])
+    small = Engine(spark, engine.catalog.compact(f"file://{tmp_path}/c").path)
+    asked = spark.createDataFrame([("a", "What was the total revenue?"), ("b", "expenses of the memo")], "query_id string, query string")
+    for e in (engine, small):
+        stored, fresh = e.corpus().index, bm25.fit(e.catalog.table("chunks"))
+        rows = lambda i: sorted(i.postings.select("chunk_id", "token", "tf", "dl").collect())
+        assert rows(stored) == rows(fresh) and stored.corpus.collect() == fresh.corpus.collect()
+        found = bm25.search(stored, asked, 5)
+        got, want = (sorted((r.query_id, r["rank"], r.chunk_id) for r in s.collect()) for s in (found, bm25.search(fresh, asked, 5)))
+        assert got == want and got
+        plan = found._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+        assert re.search(r"/postings\]\s+PushedFilters: \[[^\]]*In\(token", plan) and "/chunks]" not in plan
+    engine.delete(next(r.document_id for r in engine.documents().where("filename = 'twice.txt'").collect()))
+
+
 def test_compaction_and_clear(spark, engine, tmp_path):
     small = engine.catalog.compact(f"file://{tmp_path}/c")
     assert small.table("chunks").count() == engine.catalog.table("chunks").count() and small.raw("tombstones").isEmpty()

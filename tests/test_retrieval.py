@@ -50,6 +50,15 @@ def test_bm25_equals_a_plain_version(spark, chunks, tmp_path):
     assert [r.chunk_id for r in only] == ["c0"] and only[0]["rank"] == 1
 
 
+def test_bm25_of_many_tokens_equals_that_of_few(spark, chunks, monkeypatch):
+    index, q = bm25.fit(chunks), questions(spark, "revenue quarter", "the board of the quarter", "nothing")
+    few = bm25.search(index, q, 10).orderBy("query_id", "rank").collect()
+    monkeypatch.setattr(bm25, "FILTER_TOKENS", 1)
+    assert bm25.search(index, q, 10).orderBy("query_id", "rank").collect() == few and len(few) > 3
+    monkeypatch.setattr(bm25, "BROADCAST_TOKENS", 1)
+    assert bm25.search(index, q, 10).orderBy("query_id", "rank").collect() == few
+
+
 def test_flat_search_equals_numpy_and_ivf_recall(spark):
     rng = np.random.default_rng(3)
     m = rng.normal(size=(800, 16))
