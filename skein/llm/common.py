@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import contextlib
-import os
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -31,11 +31,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or an own one where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or an own one in local mode (tests).
+
+    On a cluster executors would each write to a folder of their own machine, so an unset folder is an error there.
+    """
     global _own_dir
     at = spark.conf.get("spark.checkpoint.dir", None)
     if at:
         return at.rstrip("/")
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir has to name a folder that driver and executors share")
     if _own_dir is None:
         _own_dir = tempfile.mkdtemp(prefix="skein-shared-")
     return f"file://{_own_dir}"
