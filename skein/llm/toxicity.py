@@ -27,10 +27,12 @@ from __future__ import annotations
 
 import math
 import re
-from bisect import bisect_left
+from array import array
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
+from itertools import accumulate, chain
 
 import numpy as np
 import pandas as pd
@@ -53,8 +55,9 @@ SAMPLE_ROWS = 20_000
 MAX_TERMS, LEAST_POSITIVE, LEAST_ODDS = 500, 3, math.log(20)
 SEED_WEIGHT = 5.0
 THRESHOLD = 0.3
-_WORDS = re.compile(r"[^\W_]+")
-_CLEAN_WORDS = 300_000
+_PARTS = re.compile(r"([^\W_]+)")
+#: A task remembers the verdicts of so many words of either kind, and then starts anew.
+_KNOWN_WORDS = 150_000
 
 
 def budget(term: str) -> int:
@@ -81,8 +84,11 @@ class LexiconAutomaton:
                 self.most[node] = max(self.most[node], budget(term))
             self.term[node] = term
         self.alphabet = {c for d in self.children for c in d}
-        self.states: list[tuple] = []
-        self.number: dict[tuple, int] = {}
+        self.letters = ["", *sorted(self.alphabet)]
+        self.nth = {c: i for i, c in enumerate(self.letters)}
+        #: each a packed run of node, nth letter owed, edits; there are tens of thousands
+        self.states: list[bytes] = []
+        self.number: dict[bytes, int] = {}
         self.moves: list[dict[str, int]] = []
         self.accepts: list[tuple[str, int] | None] = []
         self.start = self._state({(0, ""): 0})
@@ -99,12 +105,13 @@ class LexiconAutomaton:
                         queue.append((child, ""))
         if not at:
             return -1
-        key = tuple(sorted((n, o, e) for (n, o), e in at.items()))
+        of = sorted((n, o, e) for (n, o), e in at.items())
+        key = array("I", chain.from_iterable((n, self.nth[o], e) for n, o, e in of)).tobytes()
         if key not in self.number:
             self.number[key] = len(self.states)
             self.states.append(key)
             self.moves.append({})
-            ends = [(e, self.term[n]) for n, o, e in key if not o and self.term[n] is not None and e <= budget(self.term[n])]
+            ends = [(e, self.term[n]) for n, o, e in of if not o and self.term[n] is not None and e <= budget(self.term[n])]
             self.accepts.append(min(ends)[::-1] if ends else None)
         return self.number[key]
 
@@ -115,7 +122,9 @@ class LexiconAutomaton:
             if e <= self.most[node] and e < at.get((node, owed), 99):
                 at[node, owed] = e
 
-        for node, owed, e in self.states[state]:
+        packed_state = iter(array("I", self.states[state]))
+        for node, nth, e in zip(packed_state, packed_state, packed_state, strict=True):
+            owed = self.letters[nth]
             if owed:
                 if c == owed:
                     reach(node, "", e)
@@ -153,7 +162,7 @@ class ToxicityModel:
 FEATURES = ("log_evidence", "fuzzy", "quoted", "density", "dense_window", "addressed", "evidence")
 
 
-@lru_cache(maxsize=4)
+@lru_cache(maxsize=1)  # workers outlive a query; the automaton of an earlier model goes
 def _automaton(terms: tuple[tuple[str, float], ...]) -> tuple[LexiconAutomaton, set[str], dict]:
     return LexiconAutomaton(tuple(t for t, _ in terms)), set(), {}
 
@@ -173,13 +182,24 @@ def _quoted_spans(text: str) -> list[tuple[int, int]]:
     return out
 
 
+def _lowered(text: str) -> tuple[list[str], list[str]]:
+    """Gaps and words of a text by turns, as long as they are in it, and the words in lower case."""
+    if "İ" in text or "Σ" in text:  # these become longer, or other letters by what is around the word
+        parts = _PARTS.split(text)
+        return parts, [w.lower() for w in parts[1::2]]
+    parts = _PARTS.split(text.lower())
+    return parts, parts[1::2]
+
+
 def hits_of(text: str | None, terms: tuple[tuple[str, float], ...]) -> tuple[list[dict], int]:
     """Hits (start, end, term, edits, quotation 0..1, near, addressed) and the number of words."""
     automaton, clean, found = _automaton(terms)
     text = text or ""
-    spelled = _WORDS.findall(text)
-    lower = {w: w.lower() for w in set(spelled)}
-    distinct = set(lower.values())
+    parts, words = _lowered(text)
+    distinct = set(words)
+    for known in (clean, found):
+        if len(known) > _KNOWN_WORDS:
+            known.clear()
     for w in distinct - clean:
         if w not in found:
             m = automaton.match(w)
@@ -187,25 +207,22 @@ def hits_of(text: str | None, terms: tuple[tuple[str, float], ...]) -> tuple[lis
                 found[w] = m
             else:
                 clean.add(w)
-    if len(clean) > _CLEAN_WORDS:
-        clean.clear()
-    if distinct.isdisjoint(found):
-        return [], len(spelled)
-    words = [lower[w] for w in spelled]
-    spans = [m.span() for m in _WORDS.finditer(text)]
+    if found.keys().isdisjoint(distinct):
+        return [], len(words)
+    ends = list(accumulate(map(len, parts)))
     at = [i for i, w in enumerate(words) if w in found]
     quotes = _quoted_spans(text)
     openings = [a for a, _ in quotes]
     out = []
-    for k, i in enumerate(at):
+    for i in at:
         term, edits = found[words[i]]
-        start, end = spans[i]
+        start, end = ends[2 * i], ends[2 * i + 1]
         window = words[max(0, i - WINDOW) : i + WINDOW + 1]
         q = bisect_left(openings, start) - 1  # the last quotation that opens before; they don't overlap
         inside = q >= 0 and end <= quotes[q][1]
-        reported = any(w in REPORT_WORDS for w in window)
-        near = sum(1 for j in at[max(0, k - WINDOW) : k + WINDOW + 1] if abs(j - i) <= WINDOW) - 1
-        addressed = any(w in ADDRESS_WORDS for w in window)
+        reported = not REPORT_WORDS.isdisjoint(window)
+        near = bisect_right(at, i + WINDOW) - bisect_left(at, i - WINDOW) - 1
+        addressed = not ADDRESS_WORDS.isdisjoint(window)
         quotation = max(0.0, 0.7 * inside + 0.4 * reported - 0.3 * addressed)
         out.append({"start": start, "end": end, "term": term, "edits": edits, "quotation": min(1.0, quotation), "near": near, "addressed": addressed})
     return out, len(words)
@@ -255,6 +272,17 @@ def toxicity(text: Column, model: ToxicityModel) -> Column:
     return run(text)
 
 
+def toxicity_score(text: Column, model: ToxicityModel) -> Column:
+    """The score of toxicity() alone, without the hits on their way out of Python."""
+
+    @F.pandas_udf("double")
+    def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in texts:
+            yield pd.Series([score_of(features_of(*hits_of(t, model.terms), model.terms), model.weights) for t in batch], dtype="float64")
+
+    return run(text)
+
+
 def _fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
     """Ridge logistic regression by Newton's method; but for the quotations' no feature may lower the score."""
     w = _newton(x, y, ridge)
@@ -324,4 +352,4 @@ def score_documents(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id
 def drop_toxic(docs: DataFrame, model: ToxicityModel, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """docs without those that score threshold or more; all columns as they were."""
     small_batches(docs.sparkSession)
-    return unpacked(packed(docs, t=toxicity(F.col(text_col), model)).where(F.col("t.score") < threshold))
+    return unpacked(packed(docs, score=toxicity_score(F.col(text_col), model)).where(F.col("score") < threshold))
