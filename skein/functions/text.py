@@ -100,12 +100,26 @@ def numbers_in(text: Column) -> Column:
     return F.filter(F.transform(found, lambda x: F.replace(x, F.lit(","), F.lit("")).try_cast("double")), lambda v: v.isNotNull())
 
 
-def file_size(size: Column) -> Column:
-    """Bytes with a unit: B to PB, steps of 1024, two decimals."""
-    units = ("B", "KB", "MB", "GB", "TB")
-    out = F.format_string("%.2f PB", size / F.lit(1024.0**5))
-    for i in range(len(units) - 1, -1, -1):
-        out = F.when(size / F.lit(1024.0**i) < 1024, F.format_string(f"%.2f {units[i]}", size / F.lit(1024.0**i))).otherwise(out)
+def fixed(value: Column, decimals: int) -> Column:
+    """A double with so many decimals, rounded half to even by its exact binary value, as C and Python print it.
+
+    format_string rounds the shortest decimal that stands for the double instead: 1.005, which is a little less, would give 1.01.
+    Of large values, for which that decimal has too few digits, the whole part is printed on its own.
+    """
+    shown = lambda v: F.call_function("format_number", v, F.lit("0." + "0" * decimals if decimals else "0"))
+    whole = (value if decimals else F.rint(value)).try_cast("bigint")
+    large = (whole.cast("decimal(19,0)") + shown(value - whole).cast(f"decimal({decimals + 2},{decimals})")).cast("string")
+    return F.when(F.abs(value) < 10.0 ** (13 - decimals), shown(value)).when(F.abs(value) < 2.0**63, large).when(value.isNotNull(), F.format_string(f"%.{decimals}f", value))
+
+
+def file_size(size: Column, largest: str = "PB") -> Column:
+    """Bytes with a unit: B to PB or the largest that is wanted, steps of 1024, two decimals."""
+    units = ("B", "KB", "MB", "GB", "TB", "PB")
+    last = units.index(largest)
+    shown = lambda i: F.concat(fixed(size / F.lit(1024.0**i), 2), F.lit(f" {units[i]}"))
+    out = shown(last)
+    for i in range(last - 1, -1, -1):
+        out = F.when(size / F.lit(1024.0**i) < 1024, shown(i)).otherwise(out)
     return out
 
 

@@ -66,3 +66,9 @@ def test_parse_date(spark, raw, want):
 def test_validation(spark):
     assert [one(spark, q, tx.valid_query).ok for q in ("abc", "ab", "<script>", "x onclick = y", "y" * 2001)] == [True, False, False, False, False]
     assert one(spark, ' <a href="x">\x01 & \n b ', tx.sanitized) == "&lt;a href=&quot;x&quot;&gt; &amp; b"
+
+
+def test_file_size_with_a_largest_unit(spark):
+    show = lambda v, *largest: one(spark, v, lambda c: tx.file_size(c, *largest), "double")
+    assert [show(v, "GB") for v in (1023.0, 1024.0**3, 1024.0**4, 5 * 1024.0**5)] == ["1023.00 B", "1.00 GB", "1024.00 GB", "5242880.00 GB"]
+    assert [show(v) for v in (1024.0**4, 5 * 1024.0**5, 0.125, None)] == ["1.00 TB", "5.00 PB", "0.12 B", None]
