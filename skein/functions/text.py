@@ -128,17 +128,17 @@ CURRENCY_SIGNS = {"USD": "$", "EUR": "€", "GBP": "£", "INR": "₹", "JPY": "
 SCALES = ((1e12, "T"), (1e9, "B"), (1e6, "M"), (1e3, "K"))
 
 
-def currency(value: Column, code: Column) -> Column:
-    """An amount with its sign, in T, B, M or K with two decimals, or in full."""
+def currency(value: Column, code: Column, scales: tuple[tuple[float, str], ...] = SCALES) -> Column:
+    """An amount with its sign, in T, B, M or K (the scales) with two decimals, or in full."""
     sign = F.coalesce(F.create_map(*[F.lit(x) for kv in CURRENCY_SIGNS.items() for x in kv])[code], code)
     out = F.concat(sign, F.format_number(value, 2))
-    for scale, letter in reversed(SCALES):
-        out = F.when(F.abs(value) >= scale, F.concat(sign, F.format_string(f"%.2f{letter}", value / scale))).otherwise(out)
+    for scale, letter in reversed(scales):
+        out = F.when(F.abs(value) >= scale, F.concat(sign, fixed(value / scale, 2), F.lit(letter))).otherwise(out)
     return out
 
 
 def percentage(value: Column, decimals: int = 2) -> Column:
-    return F.format_string(f"%.{decimals}f%%", value * 100)
+    return F.concat(fixed(value * 100, decimals), F.lit("%"))
 
 
 #: Notations of dates, in the order they are tried.

@@ -72,3 +72,13 @@ def test_file_size_with_a_largest_unit(spark):
     show = lambda v, *largest: one(spark, v, lambda c: tx.file_size(c, *largest), "double")
     assert [show(v, "GB") for v in (1023.0, 1024.0**3, 1024.0**4, 5 * 1024.0**5)] == ["1023.00 B", "1.00 GB", "1024.00 GB", "5242880.00 GB"]
     assert [show(v) for v in (1024.0**4, 5 * 1024.0**5, 0.125, None)] == ["1.00 TB", "5.00 PB", "0.12 B", None]
+
+
+def test_fixed_prints_as_python_does(spark):
+    values = [0.0, -0.001, 0.125, 0.375, 1.005, 2.675, 999.995, -2.5, 0.5, 1.5, 123456789.125, 2.0**48 + 0.1875, 2.0**47 + 0.5, 2.0**53 + 2, -(2.0**50) - 0.75, 9e18]
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    for decimals in (0, 1, 2, 4):
+        assert [r.y for r in df.select(tx.fixed(F.col("x"), decimals).alias("y")).collect()] == [f"{v:.{decimals}f}" for v in values]
+    assert one(spark, 1.005e9, lambda c: tx.currency(c, F.lit("USD")), "double") == "$1.00B"
+    assert one(spark, 4e12, lambda c: tx.currency(c, F.lit("USD"), tx.SCALES[1:]), "double") == "$4000.00B"
+    assert one(spark, 0.00125, lambda c: tx.percentage(c, 2), "double") == "0.12%"
