@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from skein.functions.scoring import let
+
 # What headers and numbers look like, empty cells, and words of key metrics.
 HEADER_WORDS = (
     r"^(date|period|year|quarter|month)$", r"^(revenue|sales|income|profit|loss)$", r"^(expense|cost|expenditure)$", r"^(asset|liability|equity)$", r"^(total|subtotal|net|gross)$",
@@ -54,8 +56,8 @@ def looks_like_header(cells: Column) -> Column:
     return F.coalesce((known > 0.3) | (_share(cells, lambda h: ~h.rlike(NUMBER)) > 0.7), F.lit(False))
 
 
-def normalized(tables: DataFrame, detect_header: bool = True) -> DataFrame:
-    """Clean headers and cells; a first row that is the real header promoted; rows as wide as the headers."""
+def _headed(tables: DataFrame, detect_header: bool = True) -> DataFrame:
+    """Clean headers, a first row that is the real header promoted; the rows are left as they are."""
     df = tables.withColumn("headers", F.transform("headers", clean_header)).withColumn("__first", F.transform(F.try_element_at("rows", F.lit(1)), clean_header))
     promote = F.lit(detect_header) & looks_like_data(F.col("headers")) & F.col("__first").isNotNull() & looks_like_header(F.col("__first"))
     df = df.withColumn("__promote", F.coalesce(promote, F.lit(False)))
@@ -63,10 +65,18 @@ def normalized(tables: DataFrame, detect_header: bool = True) -> DataFrame:
     width = F.coalesce(F.size(F.try_element_at("rows", F.lit(1))), F.lit(0))
     numbered = F.when(width > 0, F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), width)), lambda i: F.concat(F.lit("Column_"), i.cast("string")))).otherwise(F.array().cast("array<string>"))
     blank = F.coalesce(F.forall("headers", lambda h: h == ""), F.lit(True))
-    df = df.withColumn("headers", F.when(blank, numbered).otherwise(F.col("headers")))
+    return df.withColumn("headers", F.when(blank, numbered).otherwise(F.col("headers"))).drop("__first", "__promote")
+
+
+def _fit(row: Column) -> Column:
+    """A row of clean cells, as wide as the headers."""
     n = F.size("headers")
-    fit = lambda r: F.slice(F.concat(F.transform(r, clean_cell), F.array_repeat(F.lit(""), n)), F.lit(1), n)
-    return df.withColumn("rows", F.transform("rows", fit)).drop("__first", "__promote")
+    return F.slice(F.concat(F.transform(row, clean_cell), F.array_repeat(F.lit(""), n)), F.lit(1), n)
+
+
+def normalized(tables: DataFrame, detect_header: bool = True) -> DataFrame:
+    """Clean headers and cells; a first row that is the real header promoted; rows as wide as the headers."""
+    return _headed(tables, detect_header).withColumn("rows", F.transform("rows", _fit))
 
 
 def is_valid(headers: Column, rows: Column) -> Column:
@@ -79,7 +89,10 @@ def is_valid(headers: Column, rows: Column) -> Column:
 
 def cells(tables: DataFrame) -> DataFrame:
     """table_id, row_idx, col_idx, header, value; cells beyond the headers are left out."""
-    rows = tables.select("table_id", "headers", F.posexplode("rows").alias("row_idx", "row"))
+    return _cells_of(tables.select("table_id", "headers", F.posexplode("rows").alias("row_idx", "row")))
+
+
+def _cells_of(rows: DataFrame) -> DataFrame:
     long = rows.select("table_id", "headers", "row_idx", F.posexplode("row").alias("col_idx", "value"))
     return long.where(F.col("col_idx") < F.size("headers")).select("table_id", "row_idx", "col_idx", F.col("headers")[F.col("col_idx")].alias("header"), "value")
 
@@ -147,9 +160,13 @@ def _money(c: Column) -> Column:
 
 
 def table_chunks(tables: DataFrame) -> DataFrame:
-    """All chunks of valid tables, normalised: table_id, part (schema, summary, metrics, full_data, partial_data, row), seq, content, chunk_type."""
-    t = normalized(tables.where(is_valid(F.col("headers"), F.col("rows"))))
-    long = cells(t)
+    """All chunks of valid tables, normalised: table_id, part (schema, summary, metrics, full_data, partial_data, row), seq, content, chunk_type.
+
+    A table is taken apart before its cells are cleaned, and no piece carries the whole of it.
+    """
+    t = _headed(tables.where(is_valid(F.col("headers"), F.col("rows"))))
+    each = t.select("table_id", "headers", F.posexplode("rows").alias("row_idx", "row")).withColumn("row", _fit(F.col("row")))
+    long = _cells_of(each)
     columns = profiles(long)
     named = t.select("table_id", F.coalesce(F.concat(F.lit("Table: "), "caption"), F.concat(F.lit("Table "), (F.col("table_index") + 1).cast("string"))).alias("title"), "caption", F.size("rows").alias("r"), F.size("headers").alias("c"))
     listed = columns.groupBy("table_id").agg(F.sort_array(F.collect_list(F.struct("col_idx", F.concat(F.lit("  - "), "header", F.lit(" ("), "type", F.lit(")")).alias("l")))).alias("l"))
@@ -163,11 +180,11 @@ def table_chunks(tables: DataFrame) -> DataFrame:
     of_row = F.concat_ws("\n", F.concat(F.lit("\n"), "metric", F.lit(":")), F.transform("values", lambda v: F.concat(F.lit("  "), v["header"], F.lit(": "), v["value"])))
     found = key_metrics(long).groupBy("table_id").agg(F.sort_array(F.collect_list(F.when(F.col("values").isNull(), of_column).otherwise(of_row))).alias("l"))
     metrics = found.select("table_id", F.lit("metrics").alias("part"), F.lit(0).alias("seq"), F.concat_ws("\n", F.lit("Key Financial Metrics:"), "l").alias("content"), F.lit("financial_data").alias("chunk_type"))
-    starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("rows") - 1), F.lit(ROWS_PER_CHUNK))
-    batch = t.select("table_id", "headers", F.size("rows").alias("n"), "rows", F.explode(starts).alias("seq"))
-    data = batch.select("table_id", F.when(F.col("n") <= ROWS_PER_CHUNK, "full_data").otherwise("partial_data").alias("part"), "seq", markdown(F.col("headers"), F.slice("rows", F.col("seq") + 1, F.lit(ROWS_PER_CHUNK))).alias("content"), F.lit("table").alias("chunk_type"))
-    each = t.select("table_id", "headers", F.posexplode("rows").alias("seq", "row"))
-    single = each.select("table_id", F.lit("row").alias("part"), "seq", row_text(F.col("headers"), F.col("row"), F.col("seq") + 1).alias("content"), F.lit("table").alias("chunk_type"))
+    starts = lambda r: F.sequence(F.lit(0), F.greatest(F.lit(0), F.size(r) - 1), F.lit(ROWS_PER_CHUNK))
+    pieces = let(F.col("rows"), lambda r: F.transform(starts(r), lambda i: F.struct(F.size(r).alias("n"), i.alias("seq"), F.slice(r, i + 1, F.lit(ROWS_PER_CHUNK)).alias("some"))))
+    batch = t.select("table_id", "headers", pieces.alias("pieces")).select("table_id", "headers", F.inline("pieces"))
+    data = batch.select("table_id", F.when(F.col("n") <= ROWS_PER_CHUNK, "full_data").otherwise("partial_data").alias("part"), "seq", markdown(F.col("headers"), F.transform("some", _fit)).alias("content"), F.lit("table").alias("chunk_type"))
+    single = each.select("table_id", F.lit("row").alias("part"), F.col("row_idx").alias("seq"), row_text(F.col("headers"), F.col("row"), F.col("row_idx") + 1).alias("content"), F.lit("table").alias("chunk_type"))
     out = schema
     for more in (summary, metrics, data, single):
         out = out.unionByName(more)

@@ -103,3 +103,33 @@ def test_numeric_summary(spark):
 @pytest.mark.parametrize("bad", [None])
 def test_empty_frame(spark, bad):
     assert tb.table_chunks(frame(spark, COMPANY).limit(0)).count() == 0
+
+
+def test_no_piece_of_a_table_carries_all_its_rows(spark):
+    """A copy of the rows beside each batch of 50 grows with the square of a table's length."""
+    chunks = tb.table_chunks(frame(spark, COMPANY))
+    carried = _carried(chunks._jdf.queryExecution().optimizedPlan())
+    assert carried and not any("array<array<string>>" in kind for kinds in carried for kind in kinds)
+
+
+def _carried(plan):
+    """Of each Generate the types of the child's columns that go beside what it makes."""
+    found = []
+    if plan.nodeName() == "Generate":
+        child, unneeded = plan.child().output(), plan.unrequiredChildIndex()
+        gone = {unneeded.apply(i) for i in range(unneeded.size())}
+        found.append([child.apply(i).dataType().simpleString() for i in range(child.size()) if i not in gone])
+    for i in range(plan.children().size()):
+        found += _carried(plan.children().apply(i))
+    return found
+
+
+def test_chunks_of_a_table_whose_first_row_is_the_header(spark):
+    rows = [["Date", "Revenue"], *[[f"day {n}", f" {n} "] for n in range(55)], ["short"], ["long", "-", "x"]]
+    got = tb.table_chunks(frame(spark, (["1", "2"], rows, None))).collect()
+    of = {(r.part, r.seq): r.content for r in got}
+    assert {k for k in of if k[0] != "row"} == {("schema", 0), ("summary", 0), ("metrics", 0), ("partial_data", 0), ("partial_data", 50)}
+    assert sorted(seq for part, seq in of if part == "row") == list(range(57))
+    assert of["row", 0] == "Row 1:\n  Date: day 0\n  Revenue: 0" and of["row", 56] == "Row 57:\n  Date: long"
+    assert of["partial_data", 50].splitlines() == ["| Date | Revenue |", "| --- | --- |", *[f"| day {n} | {n} |" for n in range(50, 55)], "| short |  |", "| long |  |"]
+    assert of["schema", 0].startswith("Table 1\nDimensions: 57 rows × 2 columns")
