@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skein.functions.text import tokens
@@ -221,6 +226,54 @@ def keyword_retrieval(chunks: Column, keywords: Column) -> Column:
     return F.struct(p.alias("precision"), r.alias("recall"), f1(p, r).alias("f1_score"))
 
 
+#: What separates words in UTF-8: keywords are made of letters, digits and underscores, so that each lies within one run of other bytes.
+_APART = bytes(c if chr(c).isalnum() or c == 0x5F or c > 0x7F else 0x20 for c in range(256))
+#: Runs whose keywords are remembered, and bytes of the longest of them.
+RUNS_KEPT, RUN_BYTES = 100_000, 64
+
+
+def keyword_hits(docs: DataFrame, sets: list[list[str]], group_col: str, text_col: str) -> DataFrame:
+    """Partial sums group, at, hits: texts that hold 30 per cent of the keywords of sets[at], lower-cased runs of word characters.
+
+    A text is cut into its distinct runs once, and the keywords that a run holds are looked up once for all sets.
+    """
+    low = docs.select(F.col(group_col).alias("group"), F.lower(F.col(text_col)).cast("binary").alias("text"))
+    return low.mapInArrow(functools.partial(_keyword_hits, sets=sets), f"group {low.schema['group'].dataType.simpleString()}, at int, hits long")
+
+
+def _keyword_hits(batches: Iterator[pa.RecordBatch], sets: list[list[str]]) -> Iterator[pa.RecordBatch]:
+    of_word: dict[bytes, list[int]] = {}
+    for at, words in enumerate(sets):
+        for w in dict.fromkeys(words):
+            of_word.setdefault(w.encode(), []).append(at)
+    at_words = {w: np.array(ats) for w, ats in of_word.items()}
+    lengths = sorted({len(w) for w in at_words})
+    needed = np.array([len(dict.fromkeys(words)) for words in sets])
+    known: dict[bytes, tuple[bytes, ...]] = {}
+
+    def held(run: bytes) -> tuple[bytes, ...]:
+        found = known.get(run)
+        if found is None:
+            found = tuple({run[i : i + n] for n in lengths for i in range(len(run) - n + 1)} & at_words.keys()) if len(run) <= RUN_BYTES else tuple(w for w in at_words if w in run)
+            if len(run) <= RUN_BYTES:
+                if len(known) >= RUNS_KEPT:
+                    known.clear()
+                known[run] = found
+        return found
+
+    for batch in batches:
+        hits: dict = {}
+        for group, text in zip(batch.column("group").to_pylist(), batch.column("text")):
+            words = {w for run in set(text.as_py().translate(_APART).split()) for w in held(run)} if text.is_valid else ()
+            if words:
+                counts = np.bincount(np.concatenate([at_words[w] for w in words]), minlength=len(sets))
+                enough = (counts * 10 >= needed * 3) & (needed > 0)
+                hits[group] = hits[group] + enough if group in hits else enough.astype(np.int64)
+        for group, n in hits.items():
+            at = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array([group] * len(at), batch.schema.field("group").type), pa.array(at, pa.int32()), pa.array(n[at], pa.int64())], names=["group", "at", "hits"])
+
+
 def overall(correct: Column, relevant: Column, faithful: Column, complete: Column) -> Column:
     """struct(score, band): the mean of four metrics, and what it is called."""
     mean = (correct + relevant + faithful + complete) / 4
